@@ -95,6 +95,38 @@ def running_totals(
     )
 
 
+def ordered_rank(
+    df: DataFrame, order: str, *, out: str = "rank", single_task_rows: int = 500_000, digits: int = 2
+) -> DataFrame:
+    """1-based rank over the whole table by a text column with unique values.
+
+    Up to `single_task_rows` rows one sorted task is enough. Beyond that rows are grouped by leading
+    characters, longer ones where a group is still too big, and each group is ranked on its own.
+    """
+    fixed = materialise(df)
+    if fixed.count() <= single_task_rows:
+        return fixed.withColumn(out, F.row_number().over(Window.orderBy(order)).cast("long"))
+    while True:
+        keyed = fixed.withColumn("__b", F.substring(order, 1, digits))
+        sizes = keyed.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
+        if sizes.agg(F.max("__n")).first()[0] <= single_task_rows or digits > 64:
+            break
+        digits += 2
+    before = Window.partitionBy("__p").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    grouped = sizes.withColumn("__p", F.substring("__b", 1, 1))
+    tops = grouped.groupBy("__p").agg(F.sum("__n").alias("__t"))
+    # one row per first character
+    earlier = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = tops.select("__p", F.coalesce(F.sum("__t").over(earlier), F.lit(0)).alias("__s"))
+    offsets = grouped.withColumn("__i", F.coalesce(F.sum("__n").over(before), F.lit(0))).join(starts, "__p")
+    inside = Window.partitionBy("__b").orderBy(order)
+    return (
+        keyed.join(offsets.select("__b", (F.col("__s") + F.col("__i")).alias("__o")), "__b")
+        .withColumn(out, (F.col("__o") + F.row_number().over(inside)).cast("long"))
+        .select(*df.columns, out)
+    )
+
+
 def hash_key(identity: Column, seed: str = "") -> Column:
     """Hexadecimal SHA-256 of `seed` followed by the identity: a stable pseudo-random order."""
     return F.sha2(F.concat(F.lit(seed), identity.cast("string")), 256)
