@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fieldsift.llm.common import by_batch, labelled_ids, remainder, texts
 
-SIZES = (3, 4, 5)
+SIZES = (4, 5, 6, 7)
 BITS = 20  # n-grams are hashed to so many bits
 FEATURES = 8192  # n-grams whose ratio is surest; the linear model has a weight for each
 ALPHA = 1.0
@@ -47,16 +47,22 @@ def grams(text: str) -> np.ndarray:
     return np.concatenate(out).astype(np.int32) if out else _NONE
 
 
-def present(text: str, lookup: np.ndarray) -> np.ndarray:
-    """The distinct features of the text; `lookup` maps an n-gram's hash to its feature, or to -1."""
+def weigh(counts: np.ndarray) -> np.ndarray:
+    """Weight of an n-gram that occurs so often in a text: 1 for once, rising with the logarithm."""
+    return np.log2(1.0 + counts)
+
+
+def present(text: str, lookup: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The features of the text and their weights; `lookup` maps an n-gram's hash to its feature, or to -1."""
     found = lookup[grams(text)]
-    return np.unique(found[found >= 0])
+    ids, counts = np.unique(found[found >= 0], return_counts=True)
+    return ids, weigh(counts)
 
 
 @dataclass(frozen=True)
 class Model:
     features: np.ndarray  # hash of each feature
-    weights: np.ndarray  # its weight, times its log-count ratio
+    weights: np.ndarray  # its coefficient, times its log-count ratio
     bias: float
 
     def lookup(self) -> np.ndarray:
@@ -66,30 +72,26 @@ class Model:
 
 
 def log_ratios(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
-    """Naive Bayes log-count ratio of being present in a document of either class, smoothed."""
+    """Naive Bayes ratio of the weighted counts in the documents of either class, smoothed."""
     return np.log((pos + ALPHA) / (n_pos + 2 * ALPHA)) - np.log((neg + ALPHA) / (n_neg + 2 * ALPHA))
 
 
 def fit_linear(
-    docs: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, l2: float = 1.0, steps: int = 200
+    docs: list[np.ndarray], weights: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, l2: float = 1.0, steps: int = 300
 ) -> tuple[np.ndarray, float]:
-    """L2-regularised logistic regression on presence times ratio, by accelerated gradient steps."""
-    rows = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    cols = np.concatenate([*docs, np.empty(0, np.int32)]).astype(np.int64)
-    scale = ratio[cols]
+    """L2-regularised logistic regression on weight times ratio, by gradient steps with momentum."""
+    n, rows = len(docs), np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    cols = np.concatenate([*docs, _NONE]).astype(np.int64)
+    x = ratio[cols] * np.concatenate([*weights, np.empty(0)])
     w, v, bias, shift = np.zeros(len(ratio)), np.zeros(len(ratio)), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))), 0.0
-    # the row with the largest norm bounds the curvature
-    norms = np.bincount(rows, scale**2, len(docs)) if len(docs) else np.ones(1)
-    rate = 1.0 / (0.25 * (np.percentile(norms, 99) + 1) * max(1, len(y)) ** 0.5 + l2)
-    for k in range(steps):
+    # the norms of the rows bound the curvature
+    rate = 1.0 / (0.25 * (np.percentile(np.bincount(rows, x**2, n), 99) + 1) * n**0.5 + l2)
+    for _ in range(steps):
         look, at = w + 0.9 * v, bias + 0.9 * shift
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, look[cols] * scale, len(docs)) + at, -40, 40)))
-        err = p - y
-        grad = np.bincount(cols, err[rows] * scale, len(ratio)) + l2 * look
-        v, shift = 0.9 * v - rate * grad, 0.9 * shift - rate * float(err.sum())
+        err = 1 / (1 + np.exp(-np.clip(np.bincount(rows, look[cols] * x, n) + at, -40, 40))) - y
+        v = 0.9 * v - rate * (np.bincount(cols, err[rows] * x, len(ratio)) + l2 * look)
+        shift = 0.9 * shift - rate * float(err.sum())
         w, bias = w + v, bias + shift
-        if k > 20 and np.abs(grad).max() < 1e-2:
-            break
     return w, bias
 
 
@@ -104,7 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, rows:
     # at most `rows` ids with a number each, so the broadcast has a proven bound
     named = texts(docs).join(F.broadcast(sample), "doc_id")
     once = named.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    count = once.mapInArrow(_counts, "gram int, pos long, neg long, docs_pos long, docs_neg long")
+    count = once.mapInArrow(_counts, "gram int, pos double, neg double, docs_pos long, docs_neg long")
     summed = count.groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "docs_pos", "docs_neg")])
     total = summed.filter("gram = -1").first()
     n_pos, n_neg = (total.docs_pos, total.docs_neg) if total else (0, 0)
@@ -120,27 +122,28 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, rows:
         return Model(grams, np.empty(0), bias)
     r = log_ratios(best.column("pos").to_numpy(), best.column("neg").to_numpy(), n_pos, n_neg)
     lookup = Model(grams, r, bias).lookup()
-    found = by_batch(once.select("doc_id", "text", "label"), _present, "label int, ids array<int>", lookup).toArrow()
+    found = by_batch(once, _present, "label int, ids array<int>, weights array<double>", lookup).toArrow()
     y = found.column("label").to_numpy().astype(float)
     ids = [np.asarray(x, np.int32) for x in found.column("ids").to_pylist()]
-    w, bias = fit_linear(ids, y, r)
+    w, bias = fit_linear(ids, [np.asarray(x, float) for x in found.column("weights").to_pylist()], y, r)
     return Model(grams, w * r, bias)
 
 
 def _counts(batches):
     """Document counts of n-grams by class, for all batches of a task; the gram -1 counts the documents."""
-    pos, neg, seen = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64), [0, 0]
+    pos, neg, seen = np.zeros(1 << BITS), np.zeros(1 << BITS), [0, 0]
     for batch in batches:
         for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
-            (pos if label else neg)[np.unique(grams(text))] += 1
+            ids, counts = np.unique(grams(text), return_counts=True)
+            (pos if label else neg)[ids] += weigh(counts)
             seen[label] += 1
     at = np.nonzero(pos + neg)[0]
     if sum(seen):
         yield pa.RecordBatch.from_pydict(
             {
                 "gram": pa.array(np.append(at, -1), pa.int32()),
-                "pos": np.append(pos[at], 0),
-                "neg": np.append(neg[at], 0),
+                "pos": np.append(pos[at], 0.0),
+                "neg": np.append(neg[at], 0.0),
                 "docs_pos": np.append(at * 0, seen[1]),
                 "docs_neg": np.append(at * 0, seen[0]),
             }
@@ -148,7 +151,8 @@ def _counts(batches):
 
 
 def _present(columns: dict[str, list], lookup: np.ndarray) -> dict[str, list]:
-    return {"label": columns["label"], "ids": [present(t, lookup) for t in columns["text"]]}
+    ids, weights = zip(*(present(t, lookup) for t in columns["text"]), strict=True) if columns["text"] else ((), ())
+    return {"label": columns["label"], "ids": ids, "weights": weights}
 
 
 def score(docs: DataFrame, model: Model, toxic_at: float = TOXIC_AT) -> DataFrame:
@@ -157,13 +161,13 @@ def score(docs: DataFrame, model: Model, toxic_at: float = TOXIC_AT) -> DataFram
     Only the text counts. Rows are scored one by one: repeated rows alike, rows without id with a null
     `held_out`; an empty table gives no row.
     """
-    weights = model.weights.astype(np.float64)
+    weights = model.weights
 
     def run(batches):
         lookup = model.lookup()
         for batch in batches:
-            found = [weights[present(t, lookup)].sum() for t in batch.column("text").to_pylist()]
-            margin = np.array(found, float) + model.bias
+            found = (present(t, lookup) for t in batch.column("text").to_pylist())
+            margin = np.array([weights[ids] @ x for ids, x in found], float) + model.bias
             p = 1 / (1 + np.exp(-np.clip(margin, -40, 40)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p)], ["doc_id", "score"])
 
