@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldsift.llm import packing, quality_rules, simhash, toxicity
+from fieldsift.llm import packing, quality_classifier, quality_rules, simhash, toxicity
 from fieldsift.llm.common import remainder, table
 
 
@@ -25,6 +25,14 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    modulus, out = quality_classifier.HELD_OUT
+    vectors = quality_classifier.word_vectors(docs)
+    net = quality_classifier.fit(docs, table(spark, sf_dir, "labels"), vectors, remainder(modulus) != out)
+    return quality_classifier.score(docs, vectors, net)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     modulus, out = toxicity.HELD_OUT
@@ -36,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op4_simhash": op4_simhash,
     "op6_packing": op6_packing,
+    "op8_quality_classifier": op8_quality_classifier,
     "op10_toxicity": op10_toxicity,
 }
 
