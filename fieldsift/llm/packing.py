@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from itertools import accumulate
 
 from pyspark.sql import DataFrame
@@ -14,8 +15,8 @@ SEQUENCE = 4096
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a task remembers; more only empties the memory, results stay the same.
-REMEMBERED = 200_000
-_WIDTH = 4
+REMEMBERED = 1_000_000
+_WIDTH = array("I").itemsize  # 4; the machines Spark runs on are little-endian
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -24,35 +25,54 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-class WordIds:
-    """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
+def _byte_letters() -> dict[int, str]:
+    """The letter that a byte-level vocabulary writes for each byte: visible ones stand for themselves."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
-    The vocabulary drops white space before it merges, so the ids of a text are those of its words in turn;
-    a word is encoded once and remembered.
+
+class WordIds(dict):
+    """Token ids of words, as little-endian unsigned 32-bit bytes; a word is encoded once and remembered.
+
+    The vocabulary drops white space before it merges, so the ids of a text are those of its words in turn. A
+    word of Latin letters, with or without marks behind it, needs no normalising beyond lower case and goes
+    straight to the merges; any other takes the way through the whole tokenizer.
     """
 
+    MARKS = b".,;:!?|*$%&#"
+    LETTERS = _byte_letters()
+
     def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
         self.remembered = remembered
-        self.known: dict[bytes, bytes] = {}
-
-    def add(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > self.remembered:
-            self.known.clear()
-            new = list(words)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            plain = [w.decode("utf-8") for w in part]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False), strict=True):
-                self.known[word] = b"".join(i.to_bytes(_WIDTH, "little") for i in found.ids)
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= self.remembered:
+            self.clear()
+        stem = word.rstrip(self.MARKS)
+        plain = stem.decode("utf-8")
+        if plain.isalpha() and max(plain) < "\u0250" and "\u0130" not in plain:
+            mapped = plain.lower()
+            if not mapped.isascii():
+                mapped = mapped.encode("utf-8").decode("latin-1").translate(self.LETTERS)
+            found = array("I", [t.id for t in self.merge(mapped)]).tobytes()
+            if len(stem) < len(word):  # letters and marks never share a token
+                found += self[word[len(stem) :]]
+        else:
+            found = array("I", self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids).tobytes()
+        self[word] = found
+        return found
 
     def encode(self, text: str) -> bytes:
-        words = text.encode("utf-8").split()  # bytes: at ASCII white space only
-        self.add(set(words))
-        return b"".join(map(self.known.__getitem__, words))
+        raw = text.encode("utf-8")
+        if b"<|" not in raw:  # else a special token might come about
+            raw = raw.lower()
+        return b"".join(map(self.__getitem__, raw.split()))  # bytes: ASCII white space and capitals only
 
 
 def binary_lengths(tokens: int, most: int = SEQUENCE) -> list[int]:
