@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldsift.llm import lm, nearest, packing, quality_classifier, quality_rules, simhash, toxicity
+from fieldsift.llm import lm, mixing, nearest, packing, quality_classifier, quality_rules, simhash, toxicity
 from fieldsift.llm.common import remainder, table
 
 
@@ -16,6 +16,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mixed(docs).select("doc_id", "source", "pass", "order_key")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
@@ -51,6 +56,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_mixing": op3_mixing,
     "op4_simhash": op4_simhash,
     "op5_top_k": op5_top_k,
     "op6_packing": op6_packing,
