@@ -43,3 +43,4 @@ def empty(spark):
 
 
 SF = "/root/testdata/sf0.001"
+SF_LARGER = "/root/testdata/sf0.01"
