@@ -7,10 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldsift.llm import lm, mixing, nearest, packing, quality_classifier, quality_rules, simhash, toxicity
+from fieldsift.llm import lm, mixing, nearest, packing, pii, quality_classifier, quality_rules, secrets, simhash, spans, toxicity
 from fieldsift.llm.common import remainder, table
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    base, names = F.col("base"), secrets.NAMES
+    return found.select(
+        "doc_id",
+        *[spans.count(base, i).alias(f"n_{n}") for i, n in enumerate(names[:3])],
+        F.sha2(spans.described(base, names), 256).alias("base_sha256"),
+        spans.described(spans.ordered(base, F.col("extra")), names).alias("spans"),
+        F.size("extra").cast("long").alias("n_entropy"),
+    )
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_rules.judge(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
@@ -34,6 +46,18 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.with_terms(table(spark, sf_dir, "documents"))
+    base, names = F.col("base"), pii.NAMES
+    return found.select(
+        "doc_id",
+        *[spans.count(base, i).alias(f"n_{n}") for i, n in enumerate(names[:4])],
+        F.sha2(spans.described(base, names), 256).alias("base_sha256"),
+        spans.described(spans.ordered(base, F.col("extra")), names).alias("spans"),
+        F.size("extra").cast("long").alias("n_term"),
+    )
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     modulus, out = quality_classifier.HELD_OUT
@@ -55,11 +79,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
     "op2_quality_rules": op2_quality_rules,
     "op3_mixing": op3_mixing,
     "op4_simhash": op4_simhash,
     "op5_top_k": op5_top_k,
     "op6_packing": op6_packing,
+    "op7_pii": op7_pii,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_toxicity": op10_toxicity,
