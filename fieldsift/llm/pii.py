@@ -102,7 +102,7 @@ def _near(text: Column, s: Column, base: Column) -> Column:
 
 def found_rows(docs: DataFrame, *more: str) -> DataFrame:
     """`row, doc_id, base, near`, and further columns: base spans and the terms around them, written once."""
-    rows = texts(docs, *more).withColumn("base", base_spans(F.col("text")))
+    rows = texts(docs, *[c for c in more if c != "text"]).withColumn("base", base_spans(F.col("text")))
     base, text = F.col("base"), F.col("text")
     near = F.flatten(F.transform("base", lambda s: _near(text, s, base)))
     rows = rows.withColumn("near", F.when(F.size("base") > 0, near)).withColumn("row", F.monotonically_increasing_id())
