@@ -131,22 +131,32 @@ def decisions(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEAT
     return keep(out.select("key", "tokens", "epochs", "whole", "blocks", "cut_block", "cut_order"), "decisions")
 
 
-def mixed(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS) -> DataFrame:
-    """The rows of `docs`, each as often as the mixture has it, with `pass` (from 1) and `order_key` added.
-
-    `order_key` orders a pass at random, by blocks of a source and within them. Documents are sent nowhere
-    unless there are very many sources: the table of decisions has a row for each, and Spark broadcasts it only
-    while its files are small. A missing source is a source; a null text has no tokens and stays once; repeated
-    rows each count; an empty table gives no row.
-    """
+def _repeated(docs: DataFrame, entropy: float, repeats: float) -> DataFrame:
+    """The rows of `docs` as often as the mixture has them, with `__pass`, `__block` and `__order`."""
     plan = decisions(docs, entropy, repeats)
     names = {c: f"__{c}" for c in ("key", "whole", "blocks", "cut_block", "cut_order")}
     plan = plan.select(*[F.col(c).alias(n) for c, n in names.items()])
-    rows = docs.withColumn("key_", _key()).join(plan, F.col("key_") == F.col("__key"))
+    rows = docs.withColumn("__source", _key()).join(plan, F.col("__source") == F.col("__key"))
     order, block = _order(), F.xxhash64(F.lit(SEED + 2), F.col("__key"), _block("__blocks"))
     taken = (block < F.col("__cut_block")) | ((block == F.col("__cut_block")) & (order <= F.col("__cut_order")))
     count = F.col("__whole") + F.when(taken, 1).otherwise(0)
     passes = F.explode(F.sequence(F.lit(1).cast("long"), count))
-    rows = rows.select(*[docs[c] for c in docs.columns], block.alias("__block"), order.alias("__order"), passes.alias("__pass"))
-    key = F.xxhash64("__pass", "__block", "__order")
-    return rows.select(*docs.columns, F.col("__pass").cast("int").alias("pass"), key.alias("order_key"))
+    return rows.select(*docs.columns, block.alias("__block"), order.alias("__order"), passes.alias("__pass"))
+
+
+def mixed(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS) -> DataFrame:
+    """`doc_id, source, pass, order_key`: each document as often as the mixture has it, `pass` from 1.
+
+    `order_key` orders a pass at random, by blocks of a source and within them. Documents are sent nowhere
+    unless there are very many sources: the table of decisions has a row for each, and Spark broadcasts it only
+    while its files are small. A missing source is a source; a null text has no tokens and stays once; repeated
+    rows each count; an empty table gives no row.
+    """
+    own = docs.select("doc_id", "source", "text")
+    key = F.xxhash64("__pass", "__block", "__order").alias("order_key")
+    return _repeated(own, entropy, repeats).select("doc_id", "source", F.col("__pass").cast("int").alias("pass"), key)
+
+
+def mixed_rows(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS) -> DataFrame:
+    """The rows of `docs`, all columns as they are, each as often as the mixture has it; none is lost."""
+    return _repeated(docs, entropy, repeats).select(*docs.columns)

@@ -171,7 +171,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
     """The rows of `docs` with protected spans generalised to their kind, and disclosing terms too or removed.
 
     A disclosing term with a capital or a digit becomes `<term>`, any other goes. All columns come back;
-    `n_chars` follows the new text where it was given, and a null text stays null.
+    `n_chars` follows the new text where both were given, and a null text stays null.
     """
     columns = docs.columns
     others = [c for c in columns if c not in ("doc_id", "text")]
@@ -189,5 +189,6 @@ def sanitised(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("__new", F.when(~F.col("__rest.none"), new))
     given = {"doc_id": F.col("__rest.id"), "text": F.col("__new")}
     if "n_chars" in columns:
-        given["n_chars"] = F.when(F.col("__rest.n_chars").isNotNull(), F.length("__new")).cast(docs.schema["n_chars"].dataType)
+        length = F.coalesce(F.length("__new").cast("long"), F.col("__rest.n_chars").cast("long"))
+        given["n_chars"] = F.when(F.col("__rest.n_chars").isNotNull(), length).cast(docs.schema["n_chars"].dataType)
     return rows.select(*[given.get(c, F.col("__rest")[c]).alias(c) for c in columns])
