@@ -23,7 +23,7 @@ KNOWN_WORDS = 65_536
 RATES = (0.01, 0.006, 0.003)
 #: Up to so many tokens a pass takes every document; above, a share that falls with the square root, so what is
 #: learnt from goes on growing with the corpus.
-WHOLE_TOKENS = 250_000
+WHOLE_TOKENS = 150_000
 _FLUSH = 500_000
 _BLOCK = 64  # parameters in a row of a shuffled average
 _MARKS = b".,;:!?"
@@ -103,20 +103,29 @@ def _untrained(counts: DataFrame) -> Model:
     return Model(sum(r.c for r in per), sum(r.n for r in per), known, frequent, rare_counts, rare_words, weights)
 
 
-class _Ids(dict):
-    """Model ids of words; rarer words are remembered up to a limit."""
+class _Codes(dict):
+    """A number for each word: its place among the known words, or after them its class, remembered up to a limit."""
 
     def __init__(self, model: Model) -> None:
-        super().__init__(model.frequent)
-        self.model = model
+        self.known = {w: i for i, w in enumerate(model.known)}
+        super().__init__(self.known)
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > _FLUSH:
+        if len(self) > len(self.known) + _FLUSH:
             self.clear()
-            self.update(self.model.frequent)
-        self[word] = found = gru.WORDS + rare_class(word)
+            self.update(self.known)
+        self[word] = found = len(self.known) + rare_class(word)
         return found
 
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+
+
+def _model_ids(model: Model) -> np.ndarray:
+    """The model's id of each code."""
+    own = [model.frequent[w] if w in model.frequent else gru.WORDS + rare_class(w) for w in model.known]
+    return np.array([*own, *range(gru.WORDS, gru.WORDS + gru.RARE)], np.int32)
+
 
 def _train_pass(docs: DataFrame, model: Model, rate: float, number: int) -> np.ndarray:
     """One pass: every task trains on its share of the documents; the weights are averaged by tokens in Spark."""
@@ -126,10 +135,11 @@ def _train_pass(docs: DataFrame, model: Model, rate: float, number: int) -> np.n
     values = [f"w{i}" for i in range(_BLOCK)]
 
     def run(batches):
-        ids, flat, total, held, size = _Ids(model), model.weights, 0, [], 0
+        codes, ids = _Codes(model), _model_ids(model)
+        flat, total, held, size = model.weights, 0, [], 0
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                held.append(np.fromiter(map(ids.__getitem__, tokens(text)), np.int32))
+                held.append(ids[codes.of(tokens(text))])
                 size += len(held[-1])
                 if size >= 1_000_000:
                     flat = gru.train(flat, np.concatenate(held), rate)
@@ -171,25 +181,25 @@ _SCORED = "doc_id long, n_tokens long, n_known long, base double, score double,
 
 def _score(batches, model: Model):
     """Per text: what a task knows of both scores; words that only the join can look up are handed on."""
-    ids, known = _Ids(model), model.known
+    codes, ids, unknown = _Codes(model), _model_ids(model), len(model.known)
     unit, within = math.log10(model.total + model.distinct + 1), np.log10(model.rare_counts + model.rare_words + 1)
-    log_count = {w: math.log10(c + 1) for w, c in known.items()}
+    log_count = np.append(np.log10(np.fromiter(model.known.values(), float) + 1), np.zeros(gru.RARE))
+    # within its class a rarer word has its share of the class's tokens; one count goes to unseen words
+    inside = np.zeros(len(ids))
+    rare = ids >= gru.WORDS
+    inside[rare] = log_count[rare] - within[ids[rare] - gru.WORDS]
     for batch in batches:
         n, seen, base, rest, others, streams = [], [], [], [], [], []
         for text in batch.column("text").to_pylist():
             words = tokens(text)
-            own = np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
-            rare = own >= gru.WORDS
-            logs = [log_count.get(w) for w in words]
-            other = [w for w, x in zip(words, logs, strict=True) if x is None]
-            logs = np.array([0.0 if x is None else x for x in logs])
+            own = codes.of(words)
+            other = np.nonzero(own >= unknown)[0]
             n.append(len(words))
             seen.append(len(words) - len(other))
-            base.append(logs.sum() - unit * len(words))
-            # within its class a rarer word has its share of the class's tokens; one count goes to unseen words
-            rest.append(logs[rare].sum() - within[own[rare] - gru.WORDS].sum())
-            others.append(other)
-            streams.append(own)
+            base.append(log_count[own].sum() - unit * len(words))
+            rest.append(inside[own].sum())
+            others.append([words[i] for i in other.tolist()])
+            streams.append(ids[own])
         score = gru.score(model.weights, streams) / math.log(10) + np.array(rest, float)
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(seen, pa.int64()), pa.array(base, pa.float64())]

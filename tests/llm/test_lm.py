@@ -49,8 +49,7 @@ def test_probabilities_add_up(spark):
     model, counts = lm.fit(docs)
     vocabulary = [r.word for r in counts.collect()]
     state = gru.advance(np.zeros((1, gru.STATE), np.float32), gru.gate_table(gru.unpack(model.weights))[[5]], gru.unpack(model.weights)["gates_state"])
-    ids = lm._Ids(model)
-    own = np.array([ids[bytes(w)] for w in vocabulary])
+    own = lm._model_ids(model)[lm._Codes(model).of([bytes(w) for w in vocabulary])].astype(int)
     ll = gru.log_likelihood(gru.unpack(model.weights), np.repeat(state, len(own), axis=0), own)
     c = {bytes(r.word): r.c for r in counts.collect()}
     inside = [0.0 if i < gru.WORDS else math.log((c[bytes(w)] + 1) / (model.rare_counts[i - gru.WORDS] + model.rare_words[i - gru.WORDS] + 1)) for w, i in zip(vocabulary, own, strict=True)]
