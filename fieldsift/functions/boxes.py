@@ -22,7 +22,13 @@ def to_thousandths(share: Column) -> Column:
     return F.bround(F.least(F.lit(1000.0), F.greatest(F.lit(0.0), share * 1000))).cast("int")
 
 
+#: Four numbers, quoted or not, and nothing else.
+_NUMBER = r'"?\s*[+-]?[0-9]+(?:\.[0-9]+)?\s*"?'
+FOUR = rf"^\s*\[\s*{_NUMBER}(?:\s*,\s*{_NUMBER}){{3}}\s*\]\s*$"
+
+
 def box_list(text: Column) -> Column:
-    """Well-formed boxes of a JSON list; null when the text is no list of lists."""
-    parsed = try_json(text, "array<array<double>>")
-    return F.transform(F.filter(parsed, lambda b: F.size(b) == 4), lambda b: F.transform(b, lambda v: v.cast("int")))
+    """The entries of a JSON list that are boxes of four numbers; null when the text is no list."""
+    entries = F.filter(try_json(text, "array<string>"), lambda e: e.rlike(FOUR))
+    numbers = lambda e: F.transform(F.regexp_extract_all(e, F.lit(r"[+-]?[0-9]+(?:\.[0-9]+)?"), F.lit(0)), lambda v: v.cast("double").cast("int"))
+    return F.transform(entries, lambda e: numbers(e))

@@ -76,10 +76,11 @@ def suffix(name: Column, mime: Column) -> Column:
     )
 
 
-def safe_name(c: Column, fallback: str = "_") -> Column:
-    """A folder-safe name of at most 60 characters."""
+def safe_name(c: Column, fallback: str = "_", most: int | None = None) -> Column:
+    """A folder-safe name, cut to `most` characters when asked for (cut names can meet)."""
     cleaned = F.regexp_replace(blank(c), r'[/\\:*?"<>|\n\r\t]+', "_")
-    trimmed = F.substring(F.regexp_replace(strip(cleaned), r"^\.+|\.+$", ""), 1, 60)
+    trimmed = F.regexp_replace(strip(cleaned), r"^\.+|\.+$", "")
+    trimmed = trimmed if most is None else F.substring(trimmed, 1, most)
     return F.when(trimmed == "", F.lit(fallback)).otherwise(trimmed)
 
 
@@ -92,8 +93,11 @@ def grams(c: Column, run: str = "[一-鿿]+", lo: int = 2, hi: int = 4) -> Colum
         )
         return F.transform(starts, lambda i: F.substring(word, i, F.lit(n)))
 
+    def of_size(n: int) -> Column:
+        return F.flatten(F.transform(runs, lambda w: pieces(w, n)))
+
     runs = F.regexp_extract_all(c, F.lit(run), F.lit(0))
-    per_size = [F.flatten(F.transform(runs, lambda w, n=n: pieces(w, n))) for n in range(lo, hi + 1)]
+    per_size = [of_size(n) for n in range(lo, hi + 1)]
     return F.array_distinct(F.concat(*per_size))
 
 

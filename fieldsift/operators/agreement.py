@@ -80,23 +80,18 @@ def _zones(df: DataFrame, spread: int) -> DataFrame:
     return df.withColumn("zx", F.explode(axis(0, 2))).withColumn("zy", F.explode(axis(1, 3)))
 
 
-def close_pairs(a: DataFrame, b: DataFrame, *, crowded: int = 10_000, match: float = V.IOU_MATCH) -> DataFrame:
+def close_pairs(a: DataFrame, b: DataFrame, *, match: float = V.IOU_MATCH) -> DataFrame:
     """(fileId, i, j, iou) of boxes that overlap enough to be the same.
 
-    Photos with few boxes are paired directly; in crowded ones (more than `crowded` combinations)
-    boxes meet through grid cells, so no photo ever yields all its combinations.
+    Boxes meet through grid cells, so no photo ever yields all its combinations.
     """
     if match < 0.5:
         raise ValueError("the grid is built for overlaps of at least one half")
-    size = lambda df, n: df.groupBy("fileId").agg(F.count(F.lit(1)).alias(n))
-    busy = size(a, "na").join(size(b, "nb"), "fileId").filter(F.col("na") * F.col("nb") > crowded).select("fileId")
-    right = b.select("fileId", F.col("i").alias("j"), F.col("box").alias("other"))
-    calm = a.join(busy, "fileId", "left_anti").join(right, "fileId").select("fileId", "i", "j", "box", "other")
-    left_zones = _zones(a.join(busy, "fileId", "left_semi"), 1)
-    right_zones = _zones(b.join(busy, "fileId", "left_semi"), 0).select("fileId", "zx", "zy", F.col("i").alias("j"), F.col("box").alias("other"))
+    left_zones = _zones(a, 1)
+    right_zones = _zones(b, 0).select("fileId", "zx", "zy", F.col("i").alias("j"), F.col("box").alias("other"))
     # one level and one cell per box on the right: a pair meets exactly once
-    dense = left_zones.join(right_zones, ["fileId", "zx", "zy"]).select("fileId", "i", "j", "box", "other")
-    return calm.unionByName(dense).withColumn("iou", iou(F.col("box"), F.col("other"))).filter(F.col("iou") >= match).select("fileId", "i", "j", "iou")
+    met = left_zones.join(right_zones, ["fileId", "zx", "zy"]).withColumn("iou", iou(F.col("box"), F.col("other")))
+    return met.filter(F.col("iou") >= match).select("fileId", "i", "j", "iou")
 
 
 def match_boxes(pairs: DataFrame) -> DataFrame:
@@ -129,12 +124,12 @@ def _reverse(c: str) -> Column:
     return F.struct((-F.col(f"{c}.__o")).alias("o"), (-F.col(f"{c}.__p")).alias("p"))
 
 
-def box_pairs(defects: DataFrame, first: str, second: str, *, order: str = "seq", crowded: int = 10_000) -> DataFrame:
+def box_pairs(defects: DataFrame, first: str, second: str, *, order: str = "seq") -> DataFrame:
     """(fileId, kind, a, b, iou): matched boxes that agree or conflict in type, and boxes left alone."""
     if not first or not second or first == second:
         raise ValueError("two different sources are needed")
     a, b = materialise(numbered_boxes(defects, first, order)), materialise(numbered_boxes(defects, second, order))
-    matched = match_boxes(close_pairs(a, b, crowded=crowded))
+    matched = match_boxes(close_pairs(a, b))
     types = (
         matched.join(a.select("fileId", "i", F.col("type").alias("a")), ["fileId", "i"])
         .join(b.select("fileId", F.col("i").alias("j"), F.col("type").alias("b")), ["fileId", "j"])

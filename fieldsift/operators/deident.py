@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fieldsift import fixed_values as V
 from fieldsift.functions.rules import RuleSet
 from fieldsift.functions.text import blank, clean, try_json
-from fieldsift.scale import lookup, ordered_rank
+from fieldsift.scale import ordered_rank
 
 
 def salted_id(identity: Column, salt: str) -> Column:
@@ -41,8 +41,8 @@ def judgements(
 
     `manifest`: fileId (unique), constrId, reportDate, title.
     """
-    known = lookup(allowed.select("cls").withColumn("__ok", F.lit(True)))
-    rule_ok = lookup(allowed.select(F.col("cls").alias("rule"), F.lit(True).alias("__rule_ok")))
+    known = allowed.select("cls").withColumn("__ok", F.lit(True))
+    rule_ok = allowed.select(F.col("cls").alias("rule"), F.lit(True).alias("__rule_ok"))
     place = manifest.select("fileId", "constrId", "reportDate", "title", F.lit(True).alias("__m"))
     boxed = boxes.select("fileId").distinct().withColumn("__b", F.lit(True))
     month = F.substring(blank("reportDate"), 1, 7)
@@ -50,7 +50,7 @@ def judgements(
         rules.with_class(human.join(place, "fileId", "left").withColumnRenamed("cls", "humanClass"), out="rule")
         .join(known.withColumnRenamed("cls", "humanClass"), "humanClass", "left")
         .join(rule_ok, "rule", "left")
-        .join(lookup(buckets), "constrId", "left")
+        .join(buckets, "constrId", "left")
         .join(boxed, "fileId", "left")
     )
     skip = (
@@ -115,8 +115,8 @@ def valid_cell(value: Column, kind: str, allowed: dict[str, Sequence[str]]) -> C
     elif kind in ("taxonomy", "defectPattern"):
         ok = text.isin(*allowed[kind])
     elif kind == "box1000":
-        four = try_json(text, "array<string>")
-        ok = F.coalesce((F.size(four) == 4) & F.forall(four, lambda v: v.rlike("^(1000|[1-9]?[0-9]{1,2})$")), F.lit(False))
+        whole = r"\s*(?:1000|[1-9]?[0-9]{1,2})\s*"
+        ok = text.rlike(rf"^\s*\[{whole}(?:,{whole}){{3}}\]\s*$")
     else:
         return F.when(text == "", F.lit(True)).otherwise(F.lit(False))
     return F.when(text == "", F.lit(kind not in V.CELL_REQUIRED)).otherwise(F.coalesce(ok, F.lit(False)))

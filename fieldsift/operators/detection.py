@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from fieldsift.functions.boxes import box_list
 from fieldsift.operators.splitting import train_val_groups
-from fieldsift.scale import lookup
 
 
 def drawn_box_rows(defects: DataFrame) -> DataFrame:
@@ -25,7 +24,7 @@ def boxes_by_pattern(defects: DataFrame) -> DataFrame:
 
 def keep_frequent(boxes: DataFrame, least: int) -> DataFrame:
     few = boxes.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < least).select("pattern")
-    return boxes.join(lookup(few), "pattern", "left_anti")
+    return boxes.join(few, "pattern", "left_anti")
 
 
 def class_ids(boxes: DataFrame) -> DataFrame:

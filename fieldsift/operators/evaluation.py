@@ -165,7 +165,7 @@ def verdict(exam: DataFrame, *, true: str = "true", candidate: str = "candidate"
 
     def worse(metric: str) -> Column:
         c, b = F.col(f"c.{metric}"), F.col(f"b.{metric}")
-        return F.when(c < b - V.TOLERANCE, F.format_string(f"{metric} %.3f < 現行 %.3f − {V.TOLERANCE}", c, b))
+        return F.when(c < b - V.TOLERANCE, F.format_string(V.VERDICT_WORSE, F.lit(metric), c, b, F.lit(str(V.TOLERANCE))))
 
     drops = F.transform(
         F.filter(
@@ -174,11 +174,12 @@ def verdict(exam: DataFrame, *, true: str = "true", candidate: str = "candidate"
             & (e["value"]["recall"] - F.col("c.recall")[e["key"]]["recall"] > V.MAX_CLASS_DROP),
         ),
         lambda e: F.format_string(
-            "%s 召回 %.2f → %.2f", e["key"], e["value"]["recall"], F.col("c.recall")[e["key"]]["recall"]
+            V.VERDICT_DROP, e["key"], e["value"]["recall"], F.col("c.recall")[e["key"]]["recall"],
+            100 * (e["value"]["recall"] - F.col("c.recall")[e["key"]]["recall"]),
         ),
     )
-    catalogue = F.lit(None).cast("string") if catalogue_same else F.lit("分類表已改版，候選版訓練時的類別與現在不符")
-    small = F.when(F.col("c.n") < V.MIN_EXAM, F.format_string(f"考卷只有 %d 張（需要 ≥ {V.MIN_EXAM}），證據不足", F.col("c.n")))
+    catalogue = F.lit(None).cast("string") if catalogue_same else F.lit(V.VERDICT_CATALOGUE)
+    small = F.when(F.col("c.n") < V.MIN_EXAM, F.format_string(V.VERDICT_SMALL, F.col("c.n"), F.lit(V.MIN_EXAM)))
     scores = F.when(small.isNull(), F.concat(F.array_compact(F.array(worse("top1"), worse("macroF1"))), drops))
     reasons = F.concat(F.array_compact(F.array(catalogue, small)), F.coalesce(scores, F.array().cast("array<string>")))
     return both.withColumn("reasons", reasons).select(

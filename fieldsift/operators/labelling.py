@@ -9,7 +9,6 @@ from fieldsift import fixed_values as V
 from fieldsift.functions.rules import RuleSet
 from fieldsift.functions.text import blank, first_match
 from fieldsift.operators.pool import drop_excluded
-from fieldsift.scale import lookup
 
 
 def class_counts(df: DataFrame, by: str = "cls") -> DataFrame:
@@ -19,14 +18,14 @@ def class_counts(df: DataFrame, by: str = "cls") -> DataFrame:
 def resize_classes(df: DataFrame, rules: RuleSet) -> DataFrame:
     """Drop classes below the minimum size, or fold them into the fallback.
 
-    Only the class counts are shuffled; they come back as a checked broadcast.
+    Only the class counts are shuffled; Spark broadcasts them back while they are small.
     """
     if not rules.min_class_size:
         return df
     small = class_counts(df).filter(F.col("photos") < rules.min_class_size).select("cls")
     if rules.small_class == "drop":
-        return df.join(lookup(small), "cls", "left_anti").select(*df.columns)
-    tagged = df.join(lookup(small.withColumn("__small", F.lit(True))), "cls", "left")
+        return df.join(small, "cls", "left_anti").select(*df.columns)
+    tagged = df.join(small.withColumn("__small", F.lit(True)), "cls", "left")
     return tagged.withColumn("cls", F.when(F.col("__small"), F.lit(rules.fallback)).otherwise(F.col("cls"))).select(*df.columns)
 
 
@@ -99,7 +98,7 @@ def catalogue_version(catalog: DataFrame, rules: RuleSet) -> DataFrame:
 def orphan_verdicts(human: DataFrame, catalog: DataFrame, rules: RuleSet) -> DataFrame:
     """Human verdicts that name a class nobody defines any more."""
     valid = catalog.select(F.col("label").alias("cls"))
-    return human.filter(F.col("cls") != rules.fallback).join(lookup(valid), "cls", "left_anti")
+    return human.filter(F.col("cls") != rules.fallback).join(valid, "cls", "left_anti")
 
 
 def human_references(df: DataFrame, rules: RuleSet) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldsift import fixed_values as V
+from fieldsift.functions.boxes import box_list
 from fieldsift.functions.text import blank, strip, try_json
 from fieldsift.scale import latest_by
 
@@ -18,10 +19,9 @@ def last_verdicts(reviews: DataFrame, order: str = "seq") -> DataFrame:
 
 def last_boxes(reviews: DataFrame, order: str = "seq") -> DataFrame:
     """Latest boxes per photo. A blank entry clears them; broken or empty JSON changes nothing."""
-    parsed = try_json(F.col("box"), "array<array<double>>")
-    state = F.when(strip(blank("box")) == "", F.lit("clear")).when(F.size(parsed) > 0, F.lit("set"))
-    whole = F.transform(F.filter(parsed, lambda b: F.size(b) == 4), lambda b: F.transform(b, lambda v: v.cast("int")))
-    moves = reviews.select("fileId", F.col(order).alias("__o"), state.alias("__s"), whole.alias("boxes")).filter("__s is not null")
+    entries = try_json(F.col("box"), "array<string>")
+    state = F.when(strip(blank("box")) == "", F.lit("clear")).when(F.size(entries) > 0, F.lit("set"))
+    moves = reviews.select("fileId", F.col(order).alias("__o"), state.alias("__s"), box_list(F.col("box")).alias("boxes")).filter("__s is not null")
     top = moves.groupBy("fileId").agg(F.max_by(F.struct("__s", "boxes"), "__o").alias("m"))
     return top.filter("m.__s = 'set' and size(m.boxes) > 0").select("fileId", "m.boxes")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldsift import fixed_values as V
 from fieldsift.operators.pool import today_text
-from fieldsift.scale import hash_rank, lookup, materialise, take_by_hash
+from fieldsift.scale import hash_rank, materialise, take_by_hash
 
 
 def latest_test_days(df: DataFrame, *, fraction: float = V.TEST_FRACTION, today: str | None = None) -> DataFrame:
@@ -87,11 +87,13 @@ def rare_class_floor(
     """
     spark = df.sparkSession
     marked = with_part(df, test_days)
+    own = F.col("dataset") == V.GOLD_DATASETS[0] if "dataset" in df.columns else F.lit(True)
     cube = materialise(
         marked.groupBy(F.col("constrId").cast("string").alias("constrId"), F.col("reportDate").cast("string").alias("reportDate"), "cls", "part")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if(own).alias("own"))
     )
-    per_class = cube.groupBy("cls").agg(F.sum(F.when(F.col("part") == "train", F.col("n")).otherwise(0)).alias("n"))
+    # rows of other datasets cost a day but do not feed a class
+    per_class = cube.groupBy("cls").agg(F.sum(F.when(F.col("part") == "train", F.col("own")).otherwise(0)).alias("n"))
     train = {r["cls"]: r["n"] for r in per_class.filter(F.col("n") < floor).collect()}  # rare classes only
     test = cube.filter("part = 'test'")
     quota = int((test.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) * max_shrink)
@@ -100,12 +102,12 @@ def rare_class_floor(
         rare = F.col("cls").isin(*train)
         cost = test.groupBy("constrId", "reportDate").agg(
             F.sum("n").alias("cost"),
-            F.map_from_entries(F.collect_list(F.when(rare, F.struct("cls", "n")))).alias("mix"),
+            F.map_from_entries(F.collect_list(F.when(rare, F.struct("cls", "own")))).alias("mix"),
         )
         sites = cost.groupBy("constrId").agg(F.count(F.lit(1)).alias("site_days")).filter("site_days > 1")
         table = materialise(
-            test.filter(rare).select("constrId", "reportDate", "cls", F.col("n").alias("got"))
-            .join(cost, ["constrId", "reportDate"]).filter(F.col("cost") <= quota).join(sites, "constrId")
+            test.filter(rare).select("constrId", "reportDate", "cls", F.col("own").alias("got"))
+            .filter("got > 0").join(cost, ["constrId", "reportDate"]).filter(F.col("cost") <= quota).join(sites, "constrId")
         )
         source = _Candidates(table, page)
         gone: set[tuple] = set()
@@ -240,7 +242,7 @@ def group_folds(df: DataFrame, group: str, folds: int = V.OOF_FOLDS) -> DataFram
             end += n
             ends.append(end)
         rows.append((r["size"], ends))
-    ends = lookup(df.sparkSession.createDataFrame(rows, "size long, ends array<long>"))
+    ends = df.sparkSession.createDataFrame(rows, "size long, ends array<long>")
     ranked = hash_rank(sizes, ["size"], group)
     fold = F.size(F.filter("ends", lambda e: e < F.col("rank")))
     return ranked.join(ends, "size").select(group, "size", fold.alias("fold"))
@@ -278,7 +280,7 @@ def stratified_group_folds(df: DataFrame, group: str, positive: str, folds: int
             end += n
             ends.append(end)
         rows.append((r["size"], r["hits"], ends))
-    ends = lookup(df.sparkSession.createDataFrame(rows, "size long, hits long, ends array<long>"))
+    ends = df.sparkSession.createDataFrame(rows, "size long, hits long, ends array<long>")
     ranked = hash_rank(sizes, ["size", "hits"], group, seed=f"{seed}:")
     fold = F.size(F.filter("ends", lambda e: e < F.col("rank")))
     return ranked.join(ends, ["size", "hits"]).select(group, "size", "hits", fold.alias("fold"))

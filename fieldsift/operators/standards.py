@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from fieldsift import fixed_values as V
 from fieldsift.functions.text import first_match, found
-from fieldsift.scale import lookup
 
 
 def item_kind(name: Column) -> Column:
@@ -80,7 +79,7 @@ def stage_lists(docs: DataFrame, items: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct(place.alias("p"), "itemNo", shown.alias("name")))).alias("s")
     )
     orphans = orphan_items(items).groupBy("docNo").agg(
-        F.array_sort(F.collect_list(F.struct(place.alias("p"), "itemNo", F.substring(F.replace("name", F.lit('"'), F.lit("'")), 1, 40).alias("name")))).alias("o")
+        F.array_sort(F.collect_list(F.struct(place.alias("p"), "itemNo", F.replace("name", F.lit('"'), F.lit("'")).alias("name")))).alias("o")
     )
     named = lambda c: F.transform(c, lambda x, i: F.struct((i + 1).alias("seq"), x["itemNo"].alias("itemNo"), x["name"].alias("name")))
     out = docs.select("docNo", "name").join(stages, "docNo", "left").join(orphans, "docNo", "left")
@@ -224,4 +223,4 @@ def standards_index(catalog: DataFrame, docs: DataFrame, items: DataFrame) -> Da
 
 
 def known_docs(items: DataFrame, docs: DataFrame) -> DataFrame:
-    return items.join(lookup(docs.select("docNo").distinct()), "docNo", "left_semi")
+    return items.join(docs.select("docNo").distinct(), "docNo", "left_semi")

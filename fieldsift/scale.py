@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldsift.session import shared_dir
 
-SMALL_ROWS = 100_000
 HASH_DIGITS = 3  # 4,096 buckets for every group
 
 
@@ -20,18 +18,6 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def lookup(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Broadcast `df` when it has at most `max_rows` rows; otherwise hand it back as it is.
-
-    The rows fetched for the check are the ones that get broadcast, so `df` runs once. A larger
-    table stays a normal join side, where AQE picks the strategy and splits skewed partitions.
-    """
-    head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(head, schema=df.schema))
-
-
 def join_blank_safe(left: DataFrame, right: DataFrame, key: str, spread: str) -> DataFrame:
     """Left join where blank keys never match.
 
@@ -53,83 +39,50 @@ def latest_by(df: DataFrame, keys: Sequence[str], order: Column | str) -> DataFr
     return picked.select(*keys, *[F.col("__row")[c].alias(c) for c in rest]).select(*df.columns)
 
 
-def running_totals(
-    scores: DataFrame,
-    order: str,
-    sums: dict[str, str],
-    *,
-    descending: bool = True,
-    single_task_rows: int = 500_000,
-    buckets: int = 512,
-) -> DataFrame:
-    """Inclusive running sums over the whole table ordered by `order` (unique values).
+def running_totals(scores: DataFrame, order: str, sums: dict[str, str], *, descending: bool = True, ranges: int | None = None) -> DataFrame:
+    """Inclusive running sums over the whole table ordered by `order` (unique values; null is one of them).
 
-    `sums` maps a source column to the output name. Up to `single_task_rows` rows one sorted task
-    is enough; beyond that the rows are cut into value ranges, each range is summed on its own and
-    shifted by the total of the ranges before it (at most `buckets` rows).
+    `sums` maps a source column to the output name. Rows are dealt into value ranges (as many as shuffle
+    partitions by default); each range is summed on its own and shifted by the totals of those before it.
     """
-    fixed = materialise(scores)
     by = F.col(order).desc() if descending else F.col(order).asc()
-    if fixed.count() <= single_task_rows:
-        run = Window.orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
-        return fixed.select("*", *[F.sum(c).over(run).alias(o) for c, o in sums.items()])
-    shares = [i / buckets for i in range(1, buckets)]
-    cuts = fixed.select(F.percentile_approx(F.col(order).cast("double"), shares, 20_000)).first()[0]
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    ranged = Bucketizer(splits=splits, inputCol="__d", outputCol="__b").transform(
-        fixed.withColumn("__d", F.col(order).cast("double"))
-    )
-    before = Window.orderBy(F.col("__b").desc() if descending else F.col("__b").asc()).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
+    many = ranges or int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # stored with its range number, so that a retry cannot deal the rows otherwise
+    ranged = materialise(scores.repartitionByRange(many, by).withColumn("__b", F.spark_partition_id()))
+    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy("__b").agg(*[F.sum(c).alias(f"__t_{o}") for c, o in sums.items()])
     offsets = totals.select(
         "__b", *[F.coalesce(F.sum(f"__t_{o}").over(before), F.lit(0)).alias(f"__o_{o}") for o in sums.values()]
     )
     inside = Window.partitionBy("__b").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
-    # one row per range, so the broadcast side never exceeds `buckets` rows
+    # one row per range, so the broadcast side never exceeds their number
     return (
         ranged.join(F.broadcast(offsets), "__b")
         .select("*", *[(F.sum(c).over(inside) + F.col(f"__o_{o}")).alias(o) for c, o in sums.items()])
-        .select(*fixed.columns, *sums.values())
+        .select(*scores.columns, *sums.values())
     )
 
 
-def ordered_rank(
-    df: DataFrame, order: str, *, out: str = "rank", single_task_rows: int = 500_000, digits: int = 2
-) -> DataFrame:
-    """1-based rank over the whole table by a text column with unique values.
+def ordered_rank(df: DataFrame, order: str, *, out: str = "rank", ranges: int | None = None) -> DataFrame:
+    """1-based rank over the whole table by a column with unique values."""
+    counted = running_totals(df.withColumn("__one", F.lit(1)), order, {"__one": out}, descending=False, ranges=ranges)
+    return counted.select(*df.columns, F.col(out).cast("long").alias(out))
 
-    Up to `single_task_rows` rows one sorted task is enough. Beyond that rows are grouped by leading
-    characters, longer ones where a group is still too big, and each group is ranked on its own.
-    """
-    fixed = materialise(df)
-    if fixed.count() <= single_task_rows:
-        return fixed.withColumn(out, F.row_number().over(Window.orderBy(order)).cast("long"))
-    while True:
-        keyed = fixed.withColumn("__b", F.substring(order, 1, digits))
-        sizes = keyed.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
-        if sizes.agg(F.max("__n")).first()[0] <= single_task_rows or digits > 64:
-            break
-        digits += 2
-    before = Window.partitionBy("__p").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    grouped = sizes.withColumn("__p", F.substring("__b", 1, 1))
-    tops = grouped.groupBy("__p").agg(F.sum("__n").alias("__t"))
-    # one row per first character
-    earlier = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = tops.select("__p", F.coalesce(F.sum("__t").over(earlier), F.lit(0)).alias("__s"))
-    offsets = grouped.withColumn("__i", F.coalesce(F.sum("__n").over(before), F.lit(0))).join(starts, "__p")
-    inside = Window.partitionBy("__b").orderBy(order)
-    return (
-        keyed.join(offsets.select("__b", (F.col("__s") + F.col("__i")).alias("__o")), "__b")
-        .withColumn(out, (F.col("__o") + F.row_number().over(inside)).cast("long"))
-        .select(*df.columns, out)
-    )
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join in which a null key meets a null key."""
+    other = right
+    for k in keys:
+        other = other.withColumnRenamed(k, f"__k_{k}")
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    return left.join(other, condition, how).drop(*[f"__k_{k}" for k in keys])
 
 
 def hash_key(identity: Column, seed: str = "") -> Column:
     """Hexadecimal SHA-256 of `seed` followed by the identity: a stable pseudo-random order."""
-    return F.sha2(F.concat(F.lit(seed), identity.cast("string")), 256)
+    return F.sha2(F.concat(F.lit(seed), F.coalesce(identity.cast("string"), F.lit(""))), 256)
 
 
 def _bucketed(df: DataFrame, identity: str, seed: str, digits: int) -> DataFrame:
@@ -155,8 +108,7 @@ def hash_rank(
     rows = _bucketed(df, identity, seed, digits)
     inside = Window.partitionBy(*by, "__hb").orderBy("__h", identity)
     return (
-        rows.withColumn("__rn", F.row_number().over(inside))
-        .join(_offsets(rows, by), [*by, "__hb"])
+        null_safe_join(rows.withColumn("__rn", F.row_number().over(inside)), _offsets(rows, by), [*by, "__hb"])
         .withColumn(out, (F.col("__off") + F.col("__rn")).cast("long"))
         .select(*df.columns, out)
     )
@@ -170,10 +122,10 @@ def take_by_hash(
     Buckets wholly beyond the quota are dropped before anything is sorted.
     """
     rows = _bucketed(df, identity, seed, digits)
-    wanted = _offsets(rows, by).join(quotas, list(by)).filter(F.col("__off") < F.col("quota"))
+    wanted = null_safe_join(_offsets(rows, by), quotas, by).filter(F.col("__off") < F.col("quota"))
     inside = Window.partitionBy(*by, "__hb").orderBy("__h", identity)
     return (
-        rows.join(wanted, [*by, "__hb"])
+        null_safe_join(rows, wanted, [*by, "__hb"])
         .withColumn("__rn", F.row_number().over(inside))
         .filter(F.col("__off") + F.col("__rn") <= F.col("quota"))
         .select(*df.columns)
