@@ -115,7 +115,7 @@ def valid_cell(value: Column, kind: str, allowed: dict[str, Sequence[str]]) -> C
     elif kind in ("taxonomy", "defectPattern"):
         ok = text.isin(*allowed[kind])
     elif kind == "box1000":
-        whole = r"\s*(?:1000|[1-9]?[0-9]{1,2})\s*"
+        whole = r"\s*(?:1000|0|[1-9][0-9]{0,2})\s*"
         ok = text.rlike(rf"^\s*\[{whole}(?:,{whole}){{3}}\]\s*$")
     else:
         return F.when(text == "", F.lit(True)).otherwise(F.lit(False))

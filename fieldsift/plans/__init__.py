@@ -1 +1 @@
-
+"""Queries over the given tables, composed of the operators, with their DuckDB counterparts."""

@@ -1 +1 @@
-
+"""Structured Streaming counterparts of the log operators."""
