@@ -83,9 +83,8 @@ class RuleSet:
         return F.when(~unusable, first_match(title, self.rules, self.fallback))
 
     def with_class(self, df: DataFrame, title: str = "title", out: str = "cls") -> DataFrame:
-        """Add the class. The title is stripped once, ahead of the branches that read it."""
-        ready = df.withColumn("__t", strip(blank(title)))
-        return ready.withColumn(out, self.classify(F.col("__t"))).drop("__t")
+        """Add the class. The stripped title is a lambda variable, so no optimiser rule can repeat it in each branch."""
+        return df.withColumn(out, F.transform(F.array(strip(blank(title))), lambda t: self.classify(t))[0])
 
     def table(self, spark: SparkSession) -> DataFrame:
         """The rules as rows (pos, pattern, label)."""
