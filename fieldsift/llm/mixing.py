@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldsift.llm.common import by_batch, keep
+from fieldsift.llm.common import keep
 
 #: Wanted entropy of the source weights, as a share of the greatest possible one.
 ENTROPY = 0.95
@@ -40,12 +40,8 @@ def _block_order(block: str = "block") -> Column:
 
 def counted(docs: DataFrame) -> DataFrame:
     """`doc_id, key, tokens` of every row: words between ASCII white space (null text: none)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("key"), "text")
-    return by_batch(
-        rows,
-        lambda c: {"doc_id": c["doc_id"], "key": c["key"], "tokens": [len((t or "").encode("utf-8").split()) for t in c["text"]]},
-        "doc_id long, key string, tokens long",
-    )
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("key"), F.size(words).cast("long").alias("tokens"))
 
 
 @dataclass(frozen=True)

@@ -71,3 +71,9 @@ def test_odd_rows(spark, odd, empty):
     assert mixing.mixed_rows(empty).count() == 0 and mixing.mixed(empty).count() == 0
     blank = spark.createDataFrame([(1, None, None, "a", None, None, None), (2, "", None, None, None, None, None)], SCHEMA)
     assert mixing.mixed_rows(blank).count() == 2
+
+
+def test_words_are_those_between_ascii_white_space(odd):
+    want = sorted((r.doc_id is None, r.doc_id or 0, len((r.text or "").encode().split())) for r in odd.collect())
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.tokens) for r in mixing.counted(odd).collect())
+    assert got == want
