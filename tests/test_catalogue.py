@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from fieldsift.plans import catalogue
+from fieldsift.plans import catalogue, more  # noqa: F401  registers itself
 
 SF = "/root/testdata/sf0.001"
 
