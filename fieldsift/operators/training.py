@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -15,7 +14,7 @@ from fieldsift import fixed_values as V
 from fieldsift.operators.evaluation import average_precision, roc_auc
 from fieldsift.operators.scoring import pool_siblings
 from fieldsift.operators.splitting import group_folds, stratified_group_folds
-from fieldsift.scale import running_totals
+from fieldsift.scale import materialise, null_safe_join, running_totals
 
 
 def fit_probe(train: DataFrame, counts: dict[str, int], *, C: float = V.PROBE_C, label: str = "cls", emb: str = "emb", iterations: int = 2000) -> tuple[LogisticRegressionModel, list[str]]:
@@ -65,7 +64,7 @@ def out_of_fold(df: DataFrame, assigned: DataFrame, *, group: str, C: float = V.
 
     A fold whose training rows hold one class only gets no prediction (null).
     """
-    rows = df.join(assigned.select(group, "fold"), group).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = materialise(null_safe_join(df, assigned.select(group, "fold"), [group]))
     cube = _fold_counts(rows, label)
     classes = sorted({c for per in cube.values() for c in per})
     parts = []
@@ -134,7 +133,8 @@ def rank_defects(df: DataFrame, *, group: str, key: str = "itemKey", seeds: int
     single = rows.drop(emb).join(cv, "fileId")
     pooled = pool_siblings(single.withColumn("proba", F.array(1 - F.col("p"), F.col("p"))), 2, key=key).select(
         "fileId", F.col("defect").alias("y"), F.col("proba")[1].alias("score"), F.col("p")
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    )
+    pooled = materialise(pooled)
     counts = {r["cls"]: r["n"] for r in rows.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).collect()}
     model, known = fit_probe(rows, counts, C=C, emb=emb, iterations=3000)
     final = pool_siblings(apply_probe(rows, model, known, ["0", "1"], emb=emb), 2, key=key)

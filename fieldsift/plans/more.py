@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldsift import fixed_values as V
-from fieldsift.operators import agreement, deident, evaluation, journal, merge, pool, routing, sampling, splitting, standards
+from fieldsift.operators import agreement, deident, evaluation, journal, merge, pool, routing, sampling, splitting, standards, training
 from fieldsift.plans import bindings as B
 from fieldsift.plans.catalogue import MANIFEST, PAIRS, ROUTE, _routed, query
 from fieldsift.sources import sectioned
@@ -156,3 +156,33 @@ def even_over_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def group_val_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = splitting.train_val_groups(B.site_days(spark, sf_dir), "constrId", 0.1)
     return rows.groupBy("part").agg(F.count(F.lit(1)).alias("photos"), F.count_distinct("constrId").alias("groups"))
+
+
+# --- training: iterative fits, so only rows and shape are checked
+
+
+def _probe_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = B.table(spark, sf_dir, "embeddings")
+    return e.select(
+        F.col("vec_id").cast("string").alias("fileId"), F.col("embedding").alias("emb"), F.col("label").cast("string").alias("cls"),
+        (F.col("vec_id") % 23).cast("string").alias("site"), F.concat_ws("|", F.col("vec_id") % 101, "label").alias("itemKey"),
+        (F.col("label") == 0).cast("int").alias("defect"),
+    )
+
+
+@query()
+def oof_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _probe_rows(spark, sf_dir)
+    scored, _ = training.out_of_fold(rows, splitting.group_folds(rows, "site"), group="site")
+    return scored.select("fileId", "cls", "fold", F.array_max("proba").alias("best"))
+
+
+@query()
+def tune_c(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training.tune_c(_probe_rows(spark, sf_dir), group="site", grid=(1.0, 10.0), folds=3)
+
+
+@query()
+def defect_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked, _ = training.rank_defects(_probe_rows(spark, sf_dir), group="site", seeds=1, folds=3)
+    return ranked
