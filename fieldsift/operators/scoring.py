@@ -117,7 +117,7 @@ def with_stage(df: DataFrame, classes: Sequence[str], *, proba: str = "proba", t
     if all(c in classes for c in V.STAGE_CLASSES):
         base, finish = (p[list(classes).index(c)] for c in V.STAGE_CLASSES)
         group = base + finish
-        open_ = (group >= V.STAGE_GROUP) & (F.greatest(base, finish) / group < V.STAGE_SHARE)
+        open_ = (group >= V.STAGE_GROUP) & (F.try_divide(F.greatest(base, finish), group) < V.STAGE_SHARE)
         stage = title_stage(F.col(title))
         source = F.when(~open_, F.lit("model")).when(stage != "", F.lit("title")).otherwise(F.lit("manual"))
     else:

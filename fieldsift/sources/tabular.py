@@ -24,21 +24,35 @@ def _missing(problem: AnalysisException) -> bool:
     return "PATH_NOT_FOUND" in str(problem) or "UNABLE_TO_INFER_SCHEMA" in str(problem)
 
 
-def read_strings(spark: SparkSession, path: str, columns: Sequence[str], *, blank_as_null: bool = False) -> DataFrame:
+def _by_header(spark: SparkSession, path: str) -> list[list[str]]:
+    """Files that share a header line, together. Reads the first line of each file; the driver lists files anyway."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value"
+    )
+    first = lines.filter("block = 0").withColumn("pos", F.monotonically_increasing_id())
+    heads = first.groupBy("file").agg(F.min_by("value", "pos").alias("header"))
+    return [r.files for r in heads.groupBy("header").agg(F.array_sort(F.collect_list("file")).alias("files")).collect()]
+
+
+def read_strings(
+    spark: SparkSession, path: str, columns: Sequence[str], *, blank_as_null: bool = False, multi_line: bool = False
+) -> DataFrame:
     """CSV with every column a string. A missing file is an empty table; absent columns are filled.
 
-    The header is read for its names, so column order in the file does not matter.
+    Columns go by the header of their own file, so files may order them differently. Fields with line breaks
+    need `multi_line`, at the price of one task for each file.
     """
     try:
-        # null is written as "", and with an impossible null marker "" stays an empty string
-        raw = spark.read.option("header", True).option("nullValue", "\u0000").option("emptyValue", "").option(
-            "multiLine", True
-        ).option("escape", '"').csv(path)
+        groups = _by_header(spark, path)
     except AnalysisException as problem:
-        if _missing(problem):
-            return spark.createDataFrame([], string_schema(columns))
-        raise
-    df = with_columns(raw, columns)
+        if not _missing(problem):
+            raise
+        groups = []
+    # null is written as "", and with an impossible null marker "" stays an empty string
+    options = {"header": True, "nullValue": "\u0000", "emptyValue": "", "multiLine": multi_line, "escape": '"'}
+    df = spark.createDataFrame([], string_schema(columns))
+    for files in groups:
+        df = df.unionByName(with_columns(spark.read.options(**options).csv(files), columns))
     if blank_as_null:
         return df.select(*[F.nullif(F.col(c), F.lit("")).alias(c) for c in columns])
     return df.na.fill("")

@@ -9,7 +9,7 @@ from fieldsift import scale
 from fieldsift.functions.boxes import box_list
 from fieldsift.functions.text import grams
 from fieldsift.operators import agreement, deident, evaluation, mining, replay, sampling, splitting
-from fieldsift.sources import events  # noqa: F401  imports of every reader must work
+from fieldsift.sources import tabular
 
 
 def test_running_totals_and_ranks_with_null_and_nan(spark):
@@ -99,3 +99,11 @@ def test_overlapping_boxes_meet_once(spark):
     a, b = agreement.numbered_boxes(df, "a"), agreement.numbered_boxes(df, "b")
     (pair,) = agreement.close_pairs(a, b).collect()
     assert round(pair.iou, 4) == round(95 * 95 / 10_000, 4)
+
+
+def test_csv_columns_go_by_the_header_of_their_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("fileId,cls\nf1,A\n")
+    (tmp_path / "b.csv").write_text("cls,fileId,more\nB,f2,x\n\"C, c\",f3,\n")
+    got = tabular.read_strings(spark, str(tmp_path), ["fileId", "cls", "note"]).collect()
+    assert sorted(map(tuple, got)) == [("f1", "A", ""), ("f2", "B", ""), ("f3", "C, c", "")]
+    assert tabular.read_strings(spark, str(tmp_path / "none"), ["fileId"]).count() == 0
