@@ -90,7 +90,66 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
+def _letters(words: str) -> str:
+    """The pattern with letters of either case spelled out, as RE2 would fold beyond A-Z."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words)
+
+
+_ASSIGN = r"""((?:%s))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""" % _letters("password|passwd|secret|token|api_?key")
+
+
+def _found_sql(name: str, pattern: str) -> str:
+    """Matches of a pattern with their positions: what lies between and the matches add up."""
+    q = pattern.replace("'", "''")
+    return f"""
+        {name}_m AS (SELECT doc_id, regexp_extract_all(t, '{q}') AS m, string_split_regex(t, '{q}') AS g FROM d),
+        {name} AS (SELECT doc_id, v, CAST(s AS BIGINT) AS s, CAST(s + length(v) AS BIGINT) AS e FROM (
+            SELECT doc_id, unnest(m) AS v, unnest(list_transform(range(1, len(m) + 1), lambda i:
+                list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))) AS s
+            FROM {name}_m WHERE len(m) > 0))"""
+
+
+def _entropy_sql(name: str, letters: str, threshold: float) -> str:
+    allowed = " OR ".join(f"regexp_matches(v, '{p}')" for p in secrets.ALLOWED)
+    w = secrets.WINDOW
+    return f"""{_found_sql(name + "_run", f"[{letters}]{{{w},}}")},
+        {name}_w AS (SELECT doc_id, s, v, unnest(range(0, length(v) - {w - 1})) AS a FROM {name}_run WHERE NOT ({allowed})),
+        {name}_c AS (SELECT doc_id, s, a, string_split(substr(v, CAST(a + 1 AS BIGINT), {w}), '') AS c, substr(v, CAST(a + 1 AS BIGINT), {w}) AS x FROM {name}_w),
+        {name}_h AS (SELECT doc_id, s, a FROM {name}_c WHERE regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Za-z]') AND
+            list_sum(list_transform(list_distinct(c), lambda y: -(len(list_filter(c, lambda z: z = y)) / {w}.0) * log2(len(list_filter(c, lambda z: z = y)) / {w}.0))) >= {threshold} - 1e-9),
+        {name}_i AS (SELECT *, CASE WHEN a <= lag(a) OVER (PARTITION BY doc_id, s ORDER BY a) + {w} THEN 0 ELSE 1 END AS fresh FROM {name}_h),
+        {name}_j AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, s ORDER BY a) AS island FROM {name}_i),
+        {name} AS (SELECT doc_id, s + min(a) AS s, s + max(a) + {w} AS e FROM {name}_j GROUP BY doc_id, s, island)"""
+
+
+_WIDE, _NARROW = list(secrets.CLASSES.items())[1], list(secrets.CLASSES.items())[0]
+_SECRETS_SQL = f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        {_found_sql("assign", _ASSIGN)},
+        {_found_sql("access", secrets.ACCESS)},
+        {_found_sql("hex", f"[0-9a-f]{{{secrets.HEX_LEAST},}}")},
+        base AS (
+            SELECT doc_id, s, 0 AS k, e FROM assign WHERE length(regexp_extract(v, '{_ASSIGN.replace("'", "''")}', 2)) >= {secrets.ASSIGN_LEAST}
+            UNION ALL SELECT doc_id, s, 1, e FROM access WHERE length(v) >= {secrets.ACCESS_LEAST}
+            UNION ALL SELECT doc_id, s, 2, e FROM hex WHERE length(v) >= {secrets.HEX_LEAST}),
+        {_entropy_sql("narrow", *_NARROW)},
+        {_entropy_sql("wide", *_WIDE)},
+        extra AS (
+            SELECT x.doc_id, x.s, 3 AS k, x.e FROM (
+                SELECT doc_id, s, e FROM narrow UNION ALL
+                SELECT doc_id, s, e FROM wide w WHERE NOT EXISTS (SELECT 1 FROM narrow n WHERE n.doc_id = w.doc_id AND n.s < w.e AND n.e > w.s)) x
+            WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = x.doc_id AND b.s <= x.s AND b.e >= x.e)),
+        named AS (SELECT *, ['assign', 'access', 'hex', 'entropy'][k + 1] || ':' || s || ':' || e AS name FROM (SELECT * FROM base UNION ALL SELECT * FROM extra)),
+        per AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+            count(*) FILTER (k = 3) AS n_entropy, string_agg(name, ',' ORDER BY s, k) FILTER (k < 3) AS b, string_agg(name, ',' ORDER BY s, k) AS spans
+            FROM named GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+        sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_entropy, 0) AS n_entropy
+    FROM d LEFT JOIN per USING (doc_id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_secrets": _SECRETS_SQL,
     "op5_top_k": """
         WITH x AS (
             SELECT vec_id, list_transform(embedding, lambda v: CAST(floor(1024 * CAST(v AS DOUBLE)) AS DOUBLE)) AS q

@@ -15,7 +15,6 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ASSIGN_LEAST = 6
 ACCESS = r"AKIA[A-Z0-9]+"
 ACCESS_LEAST = 20
-HEX = r"[0-9a-f]+"
 HEX_LEAST = 24
 NAMES = ["assign", "access", "hex", "entropy"]
 
