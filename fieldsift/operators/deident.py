@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fieldsift import fixed_values as V
 from fieldsift.functions.rules import RuleSet
 from fieldsift.functions.text import blank, clean, try_json
-from fieldsift.scale import ordered_rank
+from fieldsift.scale import join_blank_safe, ordered_rank
 
 
 def salted_id(identity: Column, salt: str) -> Column:
@@ -46,11 +46,11 @@ def judgements(
     place = manifest.select("fileId", "constrId", "reportDate", "title", F.lit(True).alias("__m"))
     boxed = boxes.select("fileId").distinct().withColumn("__b", F.lit(True))
     month = F.substring(blank("reportDate"), 1, 7)
+    told = rules.with_class(human.join(place, "fileId", "left").withColumnRenamed("cls", "humanClass"), out="rule")
+    # verdicts without a manifest row have no site, and untitled ones no rule; neither may meet in one partition
     df = (
-        rules.with_class(human.join(place, "fileId", "left").withColumnRenamed("cls", "humanClass"), out="rule")
+        join_blank_safe(join_blank_safe(told, buckets, "constrId", "fileId"), rule_ok, "rule", "fileId")
         .join(known.withColumnRenamed("cls", "humanClass"), "humanClass", "left")
-        .join(rule_ok, "rule", "left")
-        .join(buckets, "constrId", "left")
         .join(boxed, "fileId", "left")
     )
     skip = (

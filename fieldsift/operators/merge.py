@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fieldsift import fixed_values as V
 from fieldsift.functions.text import blank
 from fieldsift.operators.pool import class_name_problem
+from fieldsift.scale import join_blank_safe
 
 
 def merge_manifest(old: DataFrame, new: DataFrame, *, partial: bool, api_host: str = "") -> DataFrame:
@@ -92,10 +93,8 @@ def response_problems(results: DataFrame, packet: DataFrame, pool: DataFrame, ca
         results.select("fileId", F.explode("alternatives").alias("label"))
         .join(known, "label", "left_anti").select("fileId").distinct().withColumn("__strange", F.lit(True))
     )
-    row = (
-        results.join(item, "fileId", "left").join(now, "fileId", "left").join(known, "label", "left")
-        .join(strange, "fileId", "left")
-    )
+    placed = results.join(item, "fileId", "left").join(now, "fileId", "left").join(strange, "fileId", "left")
+    row = join_blank_safe(placed, known, "label", "fileId")
     is_known = F.coalesce("__known", F.lit(False))
     empty = lambda c: F.trim(blank(c)) == ""
     decision = F.col("decision")

@@ -13,6 +13,7 @@ from fieldsift.functions.text import blank
 from fieldsift.operators.labelling import defect_title
 from fieldsift.operators.pool import bad_date, today_text
 from fieldsift.operators.splitting import audit_pick
+from fieldsift.scale import join_blank_safe
 
 
 def assemble_signals(oof: DataFrame, live: DataFrame) -> DataFrame:
@@ -180,7 +181,10 @@ def workbench(
         .join(parts, "fileId", "left")
         .join(queue.select("fileId", F.col("reason").alias("__queued")), "fileId", "left")
         .join(marks.select("fileId", F.col("defect").alias("__mark")), "fileId", "left")
-        .join(known, "humanClass", "left")
+    )
+    # nearly all photos have no human class; they must not meet in one partition
+    df = (
+        join_blank_safe(df, known, "humanClass", "fileId")
         .withColumn("ruleClass", F.when(F.col("ruleClass") == rules.fallback, F.lit("")).otherwise(blank("ruleClass")))
         .withColumn("humanClass", blank("humanClass"))
     )
