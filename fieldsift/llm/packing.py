@@ -15,7 +15,7 @@ SEQUENCE = 4096
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a task remembers; more only empties the memory, results stay the same.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 _WIDTH = array("I").itemsize  # 4; the machines Spark runs on are little-endian
 
 
