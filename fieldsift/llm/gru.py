@@ -9,13 +9,13 @@ from __future__ import annotations
 
 import numpy as np
 
-WORDS = 2048
-SIZE = 64  # frequent words in a class; class k holds the ids k * SIZE and following
+WORDS = 1024
+SIZE = 32  # frequent words in a class; class k holds the ids k * SIZE and following
 FREQUENT = WORDS // SIZE
-RARE = 96  # classes of rarer words
+RARE = 48  # classes of rarer words
 CLASSES = FREQUENT + RARE
 EMBED = 16
-STATE = 24
+STATE = 16
 WINDOW = 32  # steps through which errors are carried back
 STREAMS = 32
 SHAPES = {
