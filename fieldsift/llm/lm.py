@@ -24,7 +24,7 @@ RATES = (0.01, 0.006, 0.003)
 #: Up to so many tokens a pass takes every document; above, a share that falls with the square root, so what is
 #: learnt from goes on growing with the corpus.
 WHOLE_TOKENS = 150_000
-_FLUSH = 500_000
+_FLUSH = 250_000
 _BLOCK = 64  # parameters in a row of a shuffled average
 _MARKS = b".,;:!?"
 
