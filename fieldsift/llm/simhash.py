@@ -166,7 +166,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Of several rows with that id one stays (the smallest text hash); rows without id are left alone, as nothing
     tells which of them to prefer.
     """
-    found = near_duplicates(docs)
+    return first_of_each(docs, near_duplicates(docs))
+
+
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """As `one_of_each`, with components `found` as `doc_id, component_id`."""
     first = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
     known = docs.filter(F.col("doc_id").isNotNull()).withColumn("__key", F.col("doc_id").cast("long"))
     # partitioned as the join leaves it, so no second shuffle of the texts
