@@ -9,15 +9,16 @@ from __future__ import annotations
 
 import numpy as np
 
-WORDS = 1024
-SIZE = 32  # frequent words in a class; class k holds the ids k * SIZE and following
+WORDS = 2048
+SIZE = 64  # frequent words in a class; class k holds the ids k * SIZE and following
 FREQUENT = WORDS // SIZE
-RARE = 48  # classes of rarer words
+RARE = 96  # classes of rarer words
 CLASSES = FREQUENT + RARE
 EMBED = 16
-STATE = 16
+STATE = 24
 WINDOW = 32  # steps through which errors are carried back
-STREAMS = 32
+STREAMS = 128  # pieces of a stream side by side, at most; fewer where each would have under STEPS windows
+STEPS = 32
 SHAPES = {
     "embed": (WORDS + RARE, EMBED),
     "gates_in": (EMBED, 3 * STATE),
@@ -159,24 +160,26 @@ def _errors(p: dict, states: np.ndarray, ids: np.ndarray, grad: dict) -> np.ndar
 def train(flat: np.ndarray, stream: np.ndarray, rate: float) -> np.ndarray:
     """One pass of truncated backpropagation over a stream of texts (ids, each text ending with 0), by Adam.
 
-    The stream is cut into STREAMS pieces side by side. States go on from window to window, errors only back to
-    a window's start; a state is cleared where a text ends.
+    The stream is cut into up to STREAMS pieces side by side, filled up from its start, so that every id is learnt.
+    States go on from window to window, errors only back to a window's start; a state is cleared where a text ends.
     """
     flat = flat.copy()
-    length = (len(stream) - 1) // STREAMS
-    if length < 1:
+    if not len(stream):
         return flat
-    x = stream[: STREAMS * length].reshape(STREAMS, length).T
-    y = stream[1 : STREAMS * length + 1].reshape(STREAMS, length).T
+    streams = min(STREAMS, max(min(32, len(stream)), len(stream) // (WINDOW * STEPS)))
+    length = -(-len(stream) // streams)
+    y = np.resize(stream, streams * length)
+    x = np.concatenate([[0], y[:-1]]).reshape(streams, length).T
+    y = y.reshape(streams, length).T
     p = unpack(flat)
     m, v, step = np.zeros_like(flat), np.zeros_like(flat), 0
-    state = np.zeros((STREAMS, STATE), np.float32)
+    state = np.zeros((streams, STATE), np.float32)
     for left in range(0, length, WINDOW):
         xs, ys = x[left : left + WINDOW], y[left : left + WINDOW]
         width = len(xs)
         table, u = gate_table(p), p["gates_state"]
         olds, zs, rs, news, subs = ([None] * width for _ in range(5))
-        states = np.empty((width, STREAMS, STATE), np.float32)
+        states = np.empty((width, streams, STATE), np.float32)
         for t in range(width):
             state = state * (xs[t] != 0)[:, None].astype(np.float32)
             s, a = state @ u, table[xs[t]]
@@ -187,8 +190,8 @@ def train(flat: np.ndarray, stream: np.ndarray, rate: float) -> np.ndarray:
         step_grad = np.zeros_like(flat)
         grad = unpack(step_grad)
         outer = _errors(p, states.reshape(-1, STATE), ys.reshape(-1), grad).reshape(states.shape)
-        carried = np.zeros((STREAMS, STATE), np.float32)
-        inputs = np.empty((width, STREAMS, 3 * STATE), np.float32)
+        carried = np.zeros((streams, STATE), np.float32)
+        inputs = np.empty((width, streams, 3 * STATE), np.float32)
         for t in range(width - 1, -1, -1):
             dh = outer[t] + carried
             dn = dh * (1 - zs[t]) * (1 - news[t] ** 2)

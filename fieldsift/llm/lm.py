@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +19,8 @@ HELD_OUT = (7, 2)  # modulus, remainder
 END = b""
 #: Words whose counts every task holds; the counts of all others come by a join.
 KNOWN_WORDS = 65_536
-#: Passes over the corpus that train the recurrent model, with the step size of each.
+#: Rounds that train the recurrent model, with the step size of each; every document has its turn in one of them.
 RATES = (0.01, 0.006, 0.003)
-#: Up to so many tokens a pass takes every document; above, a share that falls with the square root, so what is
-#: learnt from goes on growing with the corpus.
-WHOLE_TOKENS = 150_000
 _FLUSH = 250_000
 _BLOCK = 64  # parameters in a row of a shuffled average
 _MARKS = b".,;:!?"
@@ -76,9 +73,10 @@ class Model:
     rare_counts: np.ndarray = field(repr=False)  # tokens and distinct words in each class of rarer words
     rare_words: np.ndarray = field(repr=False)
     weights: np.ndarray = field(repr=False)
+    trained: int = 0  # tokens that the weights are trained on
 
-    def with_weights(self, weights: np.ndarray) -> Model:
-        return Model(self.total, self.distinct, self.known, self.frequent, self.rare_counts, self.rare_words, weights)
+    def with_weights(self, weights: np.ndarray, tokens: int) -> Model:
+        return replace(self, weights=weights, trained=self.trained + tokens)
 
 
 def _untrained(counts: DataFrame) -> Model:
@@ -127,11 +125,9 @@ def _model_ids(model: Model) -> np.ndarray:
     return np.array([*own, *range(gru.WORDS, gru.WORDS + gru.RARE)], np.int32)
 
 
-def _train_pass(docs: DataFrame, model: Model, rate: float, number: int) -> np.ndarray:
-    """One pass: every task trains on its share of the documents; the weights are averaged by tokens in Spark."""
-    share = min(1.0, math.sqrt(WHOLE_TOKENS / max(1, model.total)))
-    hashed = F.pmod(F.xxhash64(F.lit(number), "doc_id"), F.lit(1 << 20))
-    picked = texts(docs).filter(hashed < int(math.ceil(share * (1 << 20)))).select("text")
+def _train_round(docs: DataFrame, model: Model, rate: float, number: int, rounds: int) -> tuple[np.ndarray, int]:
+    """One round: every task trains on its documents of the round; the weights are averaged by tokens in Spark."""
+    picked = texts(docs).filter(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == number).select("text")
     values = [f"w{i}" for i in range(_BLOCK)]
 
     def run(batches):
@@ -158,21 +154,21 @@ def _train_pass(docs: DataFrame, model: Model, rate: float, number: int) -> np.n
     parts = picked.mapInArrow(run, schema).groupBy("block").agg(*[F.sum(c).alias(c) for c in ("n", *values)])
     got = parts.orderBy("block").toArrow()
     if not got.num_rows:
-        return model.weights
+        return model.weights, 0
     rows = np.stack([got.column(c).to_numpy() for c in values], axis=1) / got.column("n").to_numpy()[:, None]
-    return rows.reshape(-1)[: gru.PARAMETERS].astype(np.float32)
+    return rows.reshape(-1)[: gru.PARAMETERS].astype(np.float32), int(got.column("n")[0].as_py())
 
 
 def fit(docs: DataFrame, rates: tuple[float, ...] = RATES) -> tuple[Model, DataFrame]:
     """The model learnt from `docs`, and the counts of all their words.
 
-    Counts cover every document. Each pass of training takes a share of the documents (all of a small corpus),
+    Counts cover every document, and so does the training: each round takes those documents whose turn it is,
     spread over the tasks that read them, and averages the weights.
     """
     counts = keep(word_counts(docs), "words")
     model = _untrained(counts)
     for number, rate in enumerate(rates):
-        model = model.with_weights(_train_pass(docs, model, rate, number))
+        model = model.with_weights(*_train_round(docs, model, rate, number, len(rates)))
     return model, counts
 
 

@@ -85,3 +85,10 @@ def test_state_is_carried_and_gradients_are_right():
     stream = np.concatenate(texts * 30)
     after = gru.train(flat, stream, 0.005)
     assert gru.score(after, texts).sum() > whole.sum()
+
+
+def test_every_learnable_token_is_trained_on(spark, docs):
+    rng = np.random.default_rng(1)
+    rows = docs([" ".join(f"w{x}" for x in rng.zipf(1.5, 900) % 5000) for _ in range(300)])
+    model, _ = lm.fit(lm.learnable(rows), rates=(0.01, 0.003))
+    assert model.trained == model.total > 200_000
