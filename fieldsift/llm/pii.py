@@ -101,22 +101,23 @@ def _near(text: Column, s: Column, base: Column) -> Column:
 
 
 def found_rows(docs: DataFrame, *more: str) -> DataFrame:
-    """`row, doc_id, base, near`, and further columns: base spans and the terms around them, written once."""
+    """`row, doc_id, text, base, near`, and further columns: base spans and the terms around them, written once."""
     rows = texts(docs, *[c for c in more if c != "text"]).withColumn("base", base_spans(F.col("text")))
     base, text = F.col("base"), F.col("text")
     near = F.flatten(F.transform("base", lambda s: _near(text, s, base)))
     rows = rows.withColumn("near", F.when(F.size("base") > 0, near)).withColumn("row", F.monotonically_increasing_id())
-    return keep(rows if "text" in more else rows.drop("text"), "personal")
+    return keep(rows, "personal")
 
 
 def disclosing(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """`row, start, end`: the term occurrences that reveal a protected entity.
+    """`row, extra`: the term occurrences that reveal a protected entity, wherever they stand in any text.
 
     A term t reveals the entity e when its pointwise mutual information with e exceeds the information of e's
     generalisation g, that is, log2 of p(e, t) / p(e) p(t) is over -log2 p(g): it then tells more about e than
     one would publish. Probabilities are shares of all documents. So that chance and copies do not count, t must
     stand by e in CONTEXTS effective contexts (the inverse of the sum of squared shares) and in DISCLOSURE of the
-    documents that have it.
+    documents that have it. The terms around the spans decide; each occurrence of a term that does is listed, also
+    far from the span and in documents without it.
     """
     near = rows.select("row", F.explode("near").alias("n")).select("row", "n.*")
     per = near.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("n"))
@@ -130,25 +131,43 @@ def disclosing(docs: DataFrame, rows: DataFrame) -> DataFrame:
     both = F.least("both", "n_entity", "n_term")
     tells = (both * F.col("n_general") > F.col("n_entity") * F.col("n_term")) & (both >= DISCLOSURE * F.col("n_term"))
     strong = known.filter(tells).select("entity", "term")
-    return near.join(strong, ["entity", "term"]).select("row", "start", "end").distinct()
+    strong = keep(strong, "strong")
+    beside = near.join(strong, ["entity", "term"]).select("row", "start", "end").distinct()
+    one = F.struct("start", F.lit(4).alias("kind"), "end", F.lit("").alias("value"))
+    beside = beside.groupBy("row").agg(F.collect_list(one).alias("beside"))
+    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))
+    said = _among(rows.select("row", F.explode(words).alias("term")), strong.select("term").distinct())
+    held = said.groupBy("row").agg(F.collect_list("term").alias("terms"))
+    # as many positions as the text has of its own disclosing terms
+    everywhere = S.matches(F.col("text"), TERM, 4, wanted=lambda v: F.array_contains("terms", F.lower(v)))
+    everywhere = F.transform(everywhere, lambda t: F.struct(t["start"], t["kind"], t["end"], F.lit("").alias("value")))
+    everywhere = F.filter(everywhere, lambda t: ~S.overlaps(t, F.col("base")))
+    at = rows.select("row", "text", "base").join(held, "row").select("row", everywhere.alias("everywhere"))
+    both = F.array_union(F.coalesce("everywhere", S.empty()), F.coalesce("beside", S.empty()))
+    return at.join(beside, "row", "full").select("row", F.array_sort(both).alias("extra"))
 
 
 def document_counts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """`term, n_term`: in how many of all documents each candidate term stands.
+    """`term, n_term`: in how many of all documents each candidate term stands."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))
+    wanted = pairs.select("term").distinct()
+    said = _among(docs.select(F.explode(words).alias("term")), wanted, join=False)
+    return said.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(wanted, "term")
+
 
-    Words reach the shuffle only if a filter of fixed size has their bit; it lets every candidate through.
+def _among(said: DataFrame, wanted: DataFrame, join: bool = True) -> DataFrame:
+    """The rows of `said` whose `term` is among `wanted`; without `join`, a few others too.
+
+    Words reach the shuffle only if a filter of fixed size has their bit; it lets every wanted one through.
     """
-    wanted = pairs.select("term").distinct()
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)).cast("int")
     marks = wanted.select(bit("term").alias("b")).groupBy((F.col("b") / 64).cast("int").alias("slot"))
     marks = marks.agg(F.bit_or(F.expr("shiftleft(1L, b % 64)")).alias("bits")).collect()  # FILTER_BITS / 64 rows at most
     slots = {r.slot: r.bits for r in marks}
     table = F.lit([slots.get(i, 0) for i in range(FILTER_BITS // 64)]).cast("array<bigint>")
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))
-    said = docs.select(F.explode(words).alias("term")).withColumn("b", bit("term"))
-    said = said.filter(F.expr("shiftleft(1L, b % 64)").bitwiseAND(F.get(table, (F.col("b") / 64).cast("int"))) != 0)
-    counted = said.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    return counted.join(wanted, "term")
+    said = said.withColumn("b", bit("term"))
+    said = said.filter(F.expr("shiftleft(1L, b % 64)").bitwiseAND(F.get(table, (F.col("b") / 64).cast("int"))) != 0).drop("b")
+    return said.join(wanted, "term") if join else said
 
 
 def with_terms(docs: DataFrame, *more: str) -> DataFrame:
@@ -158,10 +177,7 @@ def with_terms(docs: DataFrame, *more: str) -> DataFrame:
     do not make a term disclosing. An empty table gives no row.
     """
     rows = found_rows(docs, *more)
-    terms = disclosing(docs, rows)
-    one = F.struct("start", F.lit(4).alias("kind"), "end", F.lit("").alias("value"))
-    # a row has as many as stand around its own spans
-    per = keep(terms.groupBy("row").agg(F.array_sort(F.collect_list(one)).alias("extra")), "terms")
+    per = keep(disclosing(docs, rows), "terms")
     joined = rows.drop("near").join(per, "row", "left")
     extra = F.coalesce("extra", S.empty())
     return joined.select("doc_id", *more, "base", extra.alias("extra"))

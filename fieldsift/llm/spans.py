@@ -12,11 +12,11 @@ def empty(kind: str = TYPE) -> Column:
     return F.array().cast(kind)
 
 
-def matches(text: Column, pattern: str, kind: int, gate: Column | None = None) -> Column:
+def matches(text: Column, pattern: str, kind: int, gate: Column | None = None, wanted=None) -> Column:
     """Leftmost non-overlapping matches as `start, kind, end, value`: code points from 0, end exclusive.
 
     A text is cut at the matches; the lengths of what lies between and of the matches add up to the positions.
-    `gate` is a cheap condition without which nothing can match.
+    `gate` is a cheap condition without which nothing can match; of the matches, `wanted(value)` picks those to list.
     """
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
@@ -26,7 +26,10 @@ def matches(text: Column, pattern: str, kind: int, gate: Column | None = None) -
         start = acc["pos"] + F.length(x["gap"])
         end = start + F.length(x["value"])
         one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("pos"), F.concat(acc["found"], F.array(one)).alias("found"))
+        found = F.concat(acc["found"], F.array(one))
+        if wanted is not None:
+            found = F.when(wanted(x["value"]), found).otherwise(acc["found"])
+        return F.struct(end.alias("pos"), found.alias("found"))
 
     # the last part of the text follows no match
     pairs = F.zip_with(between, values, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))

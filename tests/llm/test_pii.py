@@ -105,3 +105,13 @@ def test_odd_rows(spark, odd, empty):
     rows = rows_of(["call +1 415 555 0101 or 4111111111111111 or me@x.org from 10.1.2.3!"])
     (one,) = pii.sanitised(spark.createDataFrame(rows, odd.schema)).collect()
     assert one.text == "call <phone> or <card> or <email> from <ip>!"
+
+
+def test_every_occurrence_of_a_disclosing_term_goes(docs):
+    texts = [*planted(False), "Later zanzibarov came without an address.", "mail zanzibarov@corp.example"]
+    rows = {r.doc_id: r for r in pii.with_terms(docs(texts)).collect()}
+    for i in range(120, 128):
+        assert [texts[i][s.start : s.end] for s in rows[i].extra] == ["Zanzibarov"] * 2
+    assert [(s.start, s.end) for s in rows[128].extra] == [(6, 16)] and not rows[129].extra
+    clean = {r.doc_id: r.text for r in pii.sanitised(docs(texts)).collect()}
+    assert not any("zanzibarov" in t.lower() for t in clean.values())
