@@ -75,7 +75,7 @@ def reachable(
     """`query_cell, cell, low`: the data cells that a query cell needs, and how far from its pivot data must lie.
 
     `data` has `cell, near, far` (least and greatest distance to the pivot), `nearest` the k + 1 smallest
-    distances of each cell, `queries` the greatest distance of each query cell. For any query of a cell the
+    distances of each cell over different ids, `queries` the greatest distance of each query cell. For any query of a cell the
     k-th neighbour is at most `bound` away: its distance to its pivot, between the pivots, and from there to
     the data. Data at distance d from its pivot cannot be nearer than pivots' distance - query's radius - d
     nor than d - (pivots' distance + radius).
@@ -152,7 +152,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, pivots: int
     data = keep(_celled(rows, centre, norm2, False), "cells")
     # a few numbers for each pivot
     summary = data.groupBy("cell").agg(F.min("far").alias("near"), F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).toPandas()
-    nearest = _least(data, k + 1).toPandas()
+    # one row an id: rows of the query's own id never answer it, so k + 1 ids hold k that do
+    each = data.groupBy("vec_id").agg(F.min(F.struct("far", "cell")).alias("x")).select("x.cell", "x.far")
+    nearest = _least(each, k + 1).toPandas()
     asked = _celled(rows.filter(is_query), centre, norm2, True)
     asked = keep(asked.withColumn("ask", F.monotonically_increasing_id()), "asked")
     ask_cells = asked.groupBy("cell").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).toPandas()

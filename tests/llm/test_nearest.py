@@ -63,3 +63,15 @@ def test_distant_cells_are_not_sent():
     close = pd.DataFrame({"cell": [0] * 3 + [1] * 3, "dist": [0.1, 0.2, 0.3] * 2})
     need = nearest.reachable(pivots, data, close, pd.DataFrame({"cell": [0], "far": [1.0], "n": [5]}), 2, 1.0)
     assert list(need.cell) == [0]
+
+
+def test_rows_of_the_own_id_do_not_tighten_the_bound(spark):
+    """The query's id stands on 30 rows close together; its true neighbours are far from all of them."""
+    rng = random.Random(7)
+    rows = [(0, [1.0, 0.0, 0.0])] * 30
+    for i in range(1, 60):
+        x = np.array([rng.gauss(0, 1) for _ in range(3)])
+        rows.append((i, (0.99 * x / np.linalg.norm(x)).tolist()))
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest.top_k(vectors, F.col("vec_id") == 0, k=5, pivots=89)
+    assert sorted(map(tuple, got.collect())) == plain(rows, 5, lambda i: i == 0)
