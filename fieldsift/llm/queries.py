@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldsift.llm import byte_bpe, lm, mixing, nearest, packing, pii, quality_classifier, quality_rules, secrets, simhash, spans, toxicity
+from fieldsift.llm import byte_bpe, conversations, lm, mixing, nearest, packing, pii, quality_classifier, quality_rules, secrets, simhash, spans, toxicity
 from fieldsift.llm.common import remainder, table
 
 
@@ -87,6 +87,10 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_reports(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_quality_rules": op2_quality_rules,
@@ -99,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_toxicity": op10_toxicity,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 def _letters(words: str) -> str:
@@ -159,7 +164,60 @@ _SECRETS_SQL = f"""
     FROM d LEFT JOIN per USING (doc_id)
 """
 
+
+
+def _repair_sql() -> str:
+    """Layer by layer over the rows: the least (cost, audit, text) of each state s, u, a, or none yet."""
+
+    def on(w: str, cost: str, symbol: str, turn: str | None = None) -> str:
+        text = f"{w}.t || chr(10) || {turn}" if turn else f"{w}.t"
+        return f"CASE WHEN {w} IS NOT NULL THEN {{'c': {w}.c + {cost}, 'a': {w}.a || '{symbol}', 't': {text}}} END"
+
+    def inserted(w: str, role: str) -> str:
+        return on(w, "3", "I", f"'{role}:'")
+
+    def taken(w: str, role: str, symbol: str) -> str:
+        if symbol == "K":
+            return f"CASE WHEN NOT doomed AND x = '{role[0]}' THEN {on(w, 'price', 'K', 'said')} END"
+        return f"CASE WHEN NOT doomed THEN {on(w, '3 + price', 'R', f"'{role}:' || text")} END"
+
+    to_user = ", ".join(taken(w, "user", e) for w in ("w0", "w1", "w3") for e in "KR")
+    to_assistant = ", ".join(taken("w2", "assistant", e) for e in "KR")
+    deleted = [on(f"w{i}", "4", "D") for i in range(4)]
+    return f"""
+    WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: xor(a >> 1, (a & 1) * 3988292384))) AS tab),
+        d AS (SELECT conv_id, turn, coalesce(role, ' ') AS r, coalesce(text, ' ') AS t, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+        h AS (SELECT d.*, xor(list_reduce(list_concat([4294967295], list_transform(string_split(k, ''), lambda c: CAST(ascii(c) AS BIGINT))),
+            lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1])), 4294967295) % 20 AS m FROM d, crc),
+        e AS (SELECT conv_id, turn, r, t, CASE WHEN m = 4 THEN 'user' ELSE r END AS role,
+            CASE WHEN m = 1 THEN '' WHEN m = 2 THEN regexp_replace(t, '[.!?]', '', 'g') ELSE t END AS text,
+            unnest(CASE WHEN m = 3 THEN [0, 1] ELSE [0] END) AS copy FROM h WHERE m <> 0),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, substr(t, 1, 64), copy) AS i FROM e),
+        f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+            WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 'truncated' ELSE '' END AS fault,
+            coalesce(left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) || left(role, 1) NOT IN ('su', 'ua', 'au'), false) AS illegal FROM o),
+        g AS (SELECT conv_id, i, fault IN ('blank', 'duplicate') AS doomed, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS price, left(role, 1) AS x, role || ':' || text AS said, text FROM f),
+        w AS (
+            SELECT conv_id, CAST(0 AS BIGINT) AS i, {{'c': CAST(0 AS BIGINT), 'a': '', 't': ''}} AS w0, CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, t VARCHAR)) AS w1,
+                {{'c': CAST(3 AS BIGINT), 'a': 'I', 't': chr(10) || 'user:'}} AS w2, {{'c': CAST(6 AS BIGINT), 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}} AS w3
+            FROM (SELECT DISTINCT conv_id FROM f)
+            UNION ALL
+            SELECT conv_id, i, w0, w1, w2, list_min([w3, {inserted("w2", "assistant")}]) AS w3 FROM (
+                SELECT conv_id, i, w0, w1, list_min([w2, {inserted("w0", "user")}, {inserted("w1", "user")}, {inserted("w3", "user")}]) AS w2, w3 FROM (
+                    SELECT w.conv_id, g.i, {deleted[0]} AS w0, list_min([{deleted[1]}, {taken("w0", "system", "K")}]) AS w1,
+                        list_min([{deleted[2]}, {to_user}]) AS w2, list_min([{deleted[3]}, {to_assistant}]) AS w3
+                    FROM w JOIN g ON g.conv_id IS NOT DISTINCT FROM w.conv_id AND g.i = w.i + 1))),
+        z AS (SELECT conv_id, list_min([w0, w3]) AS best FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) AS n FROM w) WHERE n = 1),
+        c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+            count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (illegal) AS illegal FROM f GROUP BY conv_id)
+    SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+        coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(substr(best.t, 2), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM a.conv_id
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_conversation_repair": _repair_sql(),
     "op1_secrets": _SECRETS_SQL,
     "op5_top_k": """
         WITH x AS (
