@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldsift.llm import byte_bpe, conversations, lm, mixing, nearest, packing, pii, quality_classifier, quality_rules, secrets, simhash, spans, toxicity
+from fieldsift.llm import byte_bpe, collocations, conversations, lm, mixing, nearest, packing, pii, quality_classifier, quality_rules, secrets, simhash, spans, toxicity
 from fieldsift.llm.common import remainder, table
 
 
@@ -91,6 +91,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_reports(conversations.damaged(table(spark, sf_dir, "conversations")))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_quality_rules": op2_quality_rules,
@@ -104,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_byte_bpe": op11_byte_bpe,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_collocations": op13_collocations,
 }
 
 def _letters(words: str) -> str:
@@ -218,6 +223,25 @@ def _repair_sql() -> str:
 
 ORACLE_SQL: dict[str, str] = {
     "op12_conversation_repair": _repair_sql(),
+    "op13_collocations": """
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+            w AS (SELECT lang, list_filter(string_split_regex(piece, '[ \\t]+'), lambda x: x <> '') AS ws FROM p),
+            o AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+            g AS (SELECT lang, k, ws[i:i + k - 1] AS g FROM o, (SELECT unnest([1, 2, 3]) AS k) WHERE i + k - 1 <= len(ws)),
+            f AS (SELECT lang, k, g, CAST(count(*) AS HUGEINT) AS f FROM g GROUP BY ALL),
+            c AS (SELECT lang, k, g, f AS a, unnest(range(1, k)) AS cut FROM f WHERE k > 1 AND f >= 10),
+            s AS (SELECT c.*, x.f AS l, y.f AS r, 1000000 * a * a // (x.f * y.f) AS score FROM c
+                JOIN f x ON x.lang = c.lang AND x.g = c.g[1:cut] JOIN f y ON y.lang = c.lang AND y.g = c.g[cut + 1:c.k]),
+            b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) AS m FROM s) WHERE m = 1),
+            t AS (SELECT lang, h, max(a) AS a FROM (SELECT lang, a, unnest([g[1:2], g[2:3]]) AS h FROM b WHERE k = 3) GROUP BY ALL),
+            z AS (SELECT b.* FROM b LEFT JOIN t ON t.lang = b.lang AND t.h = b.g WHERE b.k = 3 OR t.a IS NULL OR 100 * t.a < 50 * b.a),
+            q AS (SELECT *, list_aggregate(g, 'string_agg', ' ') AS phrase FROM z),
+            n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+            u AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM q)
+        SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+        FROM u JOIN n USING (lang) WHERE rank <= 2000
+    """,
     "op1_secrets": _SECRETS_SQL,
     "op5_top_k": """
         WITH x AS (

@@ -14,7 +14,7 @@ def rows(frame):
 
 def test_sql_agrees_on_the_given_tables(spark):
     con = duckdb.connect()
-    for name in ("documents", "embeddings"):
+    for name in ("documents", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         assert rows(queries.QUERIES[name](spark, SF).toPandas()) == rows(con.execute(sql).df()), name
