@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import base64
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 from fieldsift.llm.common import texts
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Pieces whose ids a task remembers, and windows whose merges it remembers; more only costs time, results stay the same.
+#: Pieces whose ids a task remembers, in each of two generations, and windows; results stay the same whatever it is.
 REMEMBERED = 400_000
 _NONE = 1 << 40  # above all ranks
-_LEAF = 6  # bytes of a leaf of the tree
+_LEAF = 8  # bytes of a leaf of the tree
 _SHORT = 24  # bytes of a window that is remembered
 _WIDTH = array("i").itemsize  # 4; the machines Spark runs on are little-endian
 
@@ -50,35 +50,46 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-class Encoder(dict):
-    """Ids of pieces as little-endian 32-bit bytes; a piece is encoded once by the tree and remembered.
+class _Memory(dict):
+    """What `find` gives for a key, remembered in two generations.
 
-    Two generations are held: when the younger is full it becomes the older, from which pieces met again come back.
+    When the younger is full it becomes the older, from which keys met again come back.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED) -> None:
+    def __init__(self, find: Callable[[str], bytes], remembered: int) -> None:
         super().__init__()
-        self.ranks = ranks
-        self.tokens = {rank: token for token, rank in ranks.items()}
-        self.findall = regex.compile(pattern).findall
-        self.remembered = remembered
+        self.find, self.remembered = find, remembered
         self.older: dict[str, bytes] = {}
-        self.windows: dict[bytes, list[int]] = {}
 
-    def __missing__(self, piece: str) -> bytes:
+    def __missing__(self, key: str) -> bytes:
         if len(self) >= self.remembered:
             self.older = dict(self)
             self.clear()
-        found = self.older.get(piece)
+        found = self.older.get(key)
         if found is None:
-            raw = piece.encode("utf-8")
-            # a piece that is a token is that token, whatever its merges would give
-            found = array("i", [self.ranks[raw]] if raw in self.ranks else self.tree(raw)).tobytes()
-        self[piece] = found
+            found = self.find(key)
+        self[key] = found
         return found
 
+
+class Encoder:
+    """Ids as little-endian 32-bit bytes; a piece is encoded once by the tree and remembered."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED) -> None:
+        self.ranks = ranks
+        self.tokens = {rank: token for token, rank in ranks.items()}
+        self.findall = regex.compile(pattern).findall
+        self.pieces = _Memory(self.piece, remembered)
+        self.remembered = remembered
+        self.windows: dict[bytes, list[int]] = {}
+
+    def piece(self, piece: str) -> bytes:
+        raw = piece.encode("utf-8")
+        # a piece that is a token is that token, whatever its merges would give
+        return array("i", [self.ranks[raw]] if raw in self.ranks else self.tree(raw)).tobytes()
+
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.findall(text)))
+        return b"".join(map(self.pieces.__getitem__, self.findall(text)))
 
     def merges(self, raw: bytes) -> list[int]:
         """Ids by merging the leftmost pair of lowest rank until no pair is a token; O(n log n) where long."""
@@ -123,7 +134,7 @@ class Encoder(dict):
         if found is None:
             found = self.merges(raw)
             if len(raw) <= _SHORT:
-                if len(self.windows) >= self.remembered:
+                if len(self.windows) >= self.remembered // 2:
                     self.windows.clear()
                 self.windows[raw] = found
         return found
@@ -201,7 +212,10 @@ def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(*where)
         for batch in batches:
-            raw = pa.array([known.decode(ids) for ids in batch.column("ids").to_pylist()], pa.binary())
+            ids = batch.column("ids")
+            flat, ends = ids.flatten().to_numpy(), np.append(0, np.cumsum(ids.value_lengths().to_numpy()))
+            # one document's ids at a time as numbers of Python
+            raw = pa.array([known.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), raw], ["doc_id", "ids", "decoded"])
 
     rows = encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))

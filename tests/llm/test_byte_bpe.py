@@ -52,7 +52,7 @@ def test_decoding_null_unknown_and_cut_ids(spark):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(max_size=60) | st.text("ab 'sé\n", max_size=200))
+@given(st.text(max_size=60) | st.text("ab 'sé\n1.\xa0\x1c", max_size=200))
 def test_any_text(text):
     assert ids(text) == LIBRARY.encode_ordinary(text)
 
