@@ -8,6 +8,7 @@ is counted in the texts. Nodes through which a single edge leads in and out with
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +22,11 @@ LEAST = 10  # occurrences of a candidate
 PERCENT = 50  # of a candidate's occurrences within a longer one, from which it is dropped
 TOP = 2000
 NO_LANGUAGE = "und"
-#: Tokens, and different words, whose edges a task adds up before it hands them on.
-FLUSH_TOKENS, FLUSH_WORDS = 4_000_000, 1_000_000
-_BITS = 21  # of a word's number within an edge's
-_ROWS = 250_000  # in a batch handed on
+#: Tokens whose edges a task adds up before it hands them on, and characters of text for each bucket of the graph.
+FLUSH_TOKENS, BUCKET_CHARACTERS = 3_000_000, 8_000_000
+#: Partitions of the buckets, at most; one that has several takes them one after the other.
+PARTITIONS = 20_000
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)  # odd factors that spread the buckets
 _END = b"\xff"  # no byte of UTF-8
 _LETTERS = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\n\n\n\n")
 
@@ -37,6 +39,22 @@ class _Numbers(dict):
         return found
 
 
+def _added(three: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Different columns of three numbers each, in order, and the sums of their weights (1 by default)."""
+    bits = [int(row.max(initial=0)).bit_length() for row in three]
+    if sum(bits) > 63:  # more different words than a key has bits for
+        found, place, counts = np.unique(three, axis=1, return_inverse=True, return_counts=True)
+        place = place.reshape(-1)
+    else:
+        keys = three[0].astype(np.int64)
+        for row, width in zip(three[1:], bits[1:], strict=True):
+            keys <<= width
+            keys |= row
+        keys, place, counts = np.unique(keys, return_inverse=True, return_counts=True)
+        found = np.stack([keys >> bits[1] + bits[2], keys >> bits[2] & (1 << bits[1]) - 1, keys & (1 << bits[2]) - 1])
+    return found, counts if weights is None else np.bincount(place, weights, len(counts)).astype(np.int64)
+
+
 class _Graph:
     """Edges of the texts of one language that a task has read."""
 
@@ -49,73 +67,125 @@ class _Graph:
         words = text.encode("utf-8").translate(_LETTERS).replace(b"\n", b" " + _END + b" ").split()
         if not words:
             return 0
-        self.held.append(np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words)))
-        self.held.append(np.zeros(2, np.int64))
+        self.held.append(np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words)))
+        self.held.append(np.zeros(2, np.int32))
         return len(words)
 
-    def edges(self) -> tuple[list[np.ndarray], np.ndarray]:
-        """Numbers of the three words, and weights."""
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
         w = np.concatenate(self.held)
-        three = np.stack([w[:-2], w[1:-1], np.where(w[1:-1] == 0, 0, w[2:])])[:, w[:-2] != 0]
-        if len(self.numbers) > 1 << _BITS:  # a single text of that many different words
-            found, counts = np.unique(three, axis=1, return_counts=True)
-            return list(found), counts
-        keys, counts = np.unique((three[0] << 2 * _BITS) | (three[1] << _BITS) | three[2], return_counts=True)
-        return [keys >> shift & (1 << _BITS) - 1 for shift in (2 * _BITS, _BITS, 0)], counts
-
-
-def _rows(lang: str, graph: _Graph) -> Iterator[pa.RecordBatch]:
-    edges, counts = graph.edges()
-    words = pa.array([None, *list(graph.numbers)[1:]], pa.binary()).cast(pa.string())
-    for at in range(0, len(counts), _ROWS):
-        columns = [words.take(pa.array(e[at : at + _ROWS])) for e in edges]
-        langs = pa.repeat(pa.scalar(lang, pa.string()), len(columns[0]))
-        yield pa.RecordBatch.from_arrays([langs, *columns, pa.array(counts[at : at + _ROWS], pa.int64())], ["lang", "w1", "w2", "w3", "c"])
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _added(np.stack([w[:-2], w[1:-1], np.where(w[1:-1] == 0, 0, w[2:])])[:, w[:-2] != 0])
+
+
+def _lists(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind))
+
+
+def _blocks(lang: str, graph: _Graph, buckets: int) -> pa.RecordBatch:
+    """The graph cut by node into buckets, each with the words it needs and edges numbered by them."""
+    three, weights = graph.edges()
+    words = list(graph.numbers)
+    mixed = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+    bucket = (mixed[three[0]] * _MIX[0] + mixed[three[1]] * _MIX[1]) >> np.uint64(32)
+    bucket = (bucket % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    three, weights, bucket = three[:, order], weights[order], bucket[order]
+    present, starts = np.unique(bucket, return_index=True)
+    ends = np.append(starts, len(bucket))
+    own, numbered, sizes = [], np.empty(three.shape, np.int32), [0]
+    for a, b in zip(ends, ends[1:], strict=False):
+        used, place = np.unique(three[:, a:b], return_inverse=True)
+        if used[0]:  # number 0 is the end in every block
+            used, place = np.append(0, used), place + 1
+        numbered[:, a:b] = place.reshape(3, -1)
+        own.append(used)
+        sizes.append(sizes[-1] + len(used))
+    text = pa.array([b"", *words[1:]], pa.binary()).cast(pa.string()).take(pa.array(np.concatenate(own)))
+    columns = [pa.array(present, pa.int64()), pa.repeat(pa.scalar(lang, pa.string()), len(present))]
+    columns.append(pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), text))
+    columns += [_lists(row, ends, pa.int32()) for row in numbered]
+    return pa.RecordBatch.from_arrays([*columns, _lists(weights, ends, pa.int64())], _BLOCK)
+
+
+def _count(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     graphs: dict[str, _Graph] = {}
     tokens = 0
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             tokens += graphs.setdefault(lang, _Graph()).add(text)
-            if tokens >= FLUSH_TOKENS or len(graphs[lang].numbers) >= FLUSH_WORDS:
+            if tokens >= FLUSH_TOKENS:
                 for name, graph in graphs.items():
                     if graph.held:
-                        yield from _rows(name, graph)
+                        yield _blocks(name, graph, buckets)
                 graphs, tokens = {}, 0
     for name, graph in graphs.items():
         if graph.held:
-            yield from _rows(name, graph)
+            yield _blocks(name, graph, buckets)
 
 
-def edges(docs: DataFrame) -> DataFrame:
-    """`lang, w1, w2, w3, c`: the weighted edges; a null second or third word is the end of the piece.
+class _Sum:
+    """The blocks of one bucket and language, added up."""
 
-    Tasks add up their own edges first, so a frequent passage is a row a task; rows meet by their node.
-    """
-    rows = docs.select(F.coalesce("lang", F.lit(NO_LANGUAGE)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    parts = rows.mapInArrow(_count, "lang string, w1 string, w2 string, w3 string, c long")
-    return parts.repartition("lang", "w1", "w2").groupBy("lang", "w1", "w2", "w3").agg(F.sum("c").alias("c"))
+    def __init__(self) -> None:
+        self.numbers = _Numbers({"": 0})
+        self.edges: list[np.ndarray] = []
+        self.weights: list[np.ndarray] = []
+
+    def add(self, words: list[str], three: np.ndarray, weights: np.ndarray) -> None:
+        self.edges.append(np.array([self.numbers[w] for w in words], np.int32)[three])
+        self.weights.append(weights)
+
+    def counted(self, lang: str, least: int) -> pa.RecordBatch:
+        """Words with what this bucket knows of their counts, and nodes and edges that are heavy enough."""
+        (first, second, third), c = _added(np.concatenate(self.edges, axis=1), np.concatenate(self.weights))
+        starts = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])))
+        flow = np.add.reduceat(c, starts)
+        whole = np.repeat(flow, np.diff(np.append(starts, len(c))))
+        heads = np.flatnonzero(np.append(True, first[starts][1:] != first[starts][:-1]))
+        nodes = starts[(flow >= least) & (second[starts] != 0)]
+        edges = np.flatnonzero((c >= least) & (third != 0))
+        words = pa.array([None, *list(self.numbers)[1:]], pa.string())
+        none = lambda n: np.zeros(n, first.dtype)
+        w1 = np.concatenate([first[starts][heads], first[nodes], first[edges]])
+        w2 = np.concatenate([none(len(heads)), second[nodes], second[edges]])
+        w3 = np.concatenate([none(len(heads) + len(nodes)), third[edges]])
+        f = np.concatenate([np.add.reduceat(flow, heads), whole[nodes], c[edges]])
+        node = np.concatenate([none(len(heads)), whole[nodes], whole[edges]])
+        columns = [pa.repeat(pa.scalar(lang, pa.string()), len(f)), *[words.take(pa.array(w)) for w in (w1, w2, w3)]]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(f, pa.int64()), pa.array(node, pa.int64())], _COUNTED)
+
+
+def _add_up(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """One bucket at a time, whose blocks follow each other."""
+    bucket, sums = None, {}
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {name: column[i] for name, column in zip(_BLOCK, batch.columns, strict=True)}
+            if row["bucket"].as_py() != bucket:
+                yield from (s.counted(lang, least) for lang, s in sums.items())
+                bucket, sums = row["bucket"].as_py(), {}
+            three = np.stack([row[e].values.to_numpy(zero_copy_only=False) for e in ("e1", "e2", "e3")])
+            sums.setdefault(row["lang"].as_py(), _Sum()).add(row["words"].as_py(), three, row["c"].values.to_numpy(zero_copy_only=False))
+    yield from (s.counted(lang, least) for lang, s in sums.items())
+
+
+_BLOCK = ["bucket", "lang", "words", "e1", "e2", "e3", "c"]
+_COUNTED = ["lang", "w1", "w2", "w3", "f", "node"]
 
 
 def graph(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """`lang, w1, w2, w3, f, node`, stored: all words, and the nodes and edges of a weight of at least `least`.
 
-    `f` is the count of the words that are not null; an edge also has the flow of its node. Edges already lie
-    by node, so flows need no further shuffle, and words are combined before theirs.
+    `f` is the count of the words that are not null; an edge also has the flow of its node. Tasks add up the
+    edges of their texts and hand them on in blocks by bucket of node, with each word once a block. The number
+    of buckets grows with the texts, so a task that adds up a bucket holds a bounded part of the graph; a node lies
+    in one bucket, so its flow is known there, and only the counts of words meet once more.
     """
-    real = F.col("w2").isNotNull()
-    heavy = F.filter(F.collect_list(F.when(F.col("w3").isNotNull() & (F.col("c") >= least), F.struct("w3", "c"))), lambda e: e.isNotNull())
-    nodes = edges(docs).groupBy("lang", "w1", "w2").agg(F.sum("c").alias("f"), heavy.alias("out"))
-    none = F.lit(None).cast("string")
-    row = lambda w2, w3, f, node: F.struct(w2.alias("w2"), w3.alias("w3"), f.alias("f"), node.alias("node"))
-    flow = F.col("f")
-    word = F.array(row(none, none, flow, F.lit(0).cast("long")))
-    node = F.when(real & (flow >= least), F.array(row(F.col("w2"), none, flow, flow))).otherwise(F.array())
-    out = F.transform("out", lambda e: row(F.col("w2"), e["w3"], e["c"], flow))
-    flat = nodes.select("lang", "w1", F.explode(F.concat(word, node, out)).alias("r")).select("lang", "w1", "r.*")
-    return keep(flat.groupBy("lang", "w1", "w2", "w3").agg(F.sum("f").alias("f"), F.max("node").alias("node")), "graph")
+    rows = docs.select(F.coalesce("lang", F.lit(NO_LANGUAGE)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = max(1, size // BUCKET_CHARACTERS)
+    blocks = rows.mapInArrow(lambda b: _count(b, buckets), "bucket long, lang string, words array<string>, e1 array<int>, e2 array<int>, e3 array<int>, c array<long>")
+    sums = blocks.repartitionById(int(min(buckets, PARTITIONS)), F.col("bucket").cast("int")).sortWithinPartitions("bucket").mapInArrow(lambda b: _add_up(b, least), "lang string, w1 string, w2 string, w3 string, f long, node long")
+    return keep(sums.groupBy("lang", "w1", "w2", "w3").agg(F.sum("f").alias("f"), F.max("node").alias("node")), "graph")
 
 
 def unary_paths(heavy: DataFrame) -> DataFrame:
@@ -198,6 +268,9 @@ def collocations(docs: DataFrame, least: int = LEAST, percent: int = PERCENT, to
     first, second = cut(F.col("f1"), early), cut(F.col("head"), F.col("fn"))
     best = F.when(F.col("w3").isNotNull() & (second["score"] < first["score"]), second).otherwise(first)
     rated = scored.select("lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "a", best.alias("cut")).select("lang", "phrase", "a", "cut.*")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = rated.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    # the first of each of many parts, then of those that are left: no task sorts the whole of a language
+    order = (F.desc("score"), F.desc("a"), "phrase")
+    parts = rated.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(64)))
+    first_of = parts.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).filter(F.col("rank") <= top)
+    ranked = first_of.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
     return ranked.join(total, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))

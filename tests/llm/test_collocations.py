@@ -83,28 +83,46 @@ def test_paths_are_maximal_and_hold_every_edge_once(spark, docs):
     assert max(len(p.words) for p in paths) >= 12
 
 
+def blocks(batch, buckets):
+    """Weights of all edges that the blocks hold, and the buckets of each node."""
+    found, where = Counter(), {}
+    for out in C._count(iter([batch]), buckets):
+        for r in out.to_pylist():
+            assert r["words"][0] == ""
+            for e in zip(r["e1"], r["e2"], r["e3"], r["c"], strict=True):
+                edge = (r["lang"], *[r["words"][i] for i in e[:3]])
+                found[edge] += e[3]
+                where.setdefault(edge[:3], set()).add(r["bucket"])
+    return found, where
+
+
 def test_tasks_add_up_alike_however_often_they_hand_on(monkeypatch):
     rows = texts()[:60]
     batch = pa.RecordBatch.from_pydict({"lang": [r[0] or "und" for r in rows], "text": [r[1] or "" for r in rows]})
-
-    def total():
-        found = Counter()
-        for out in C._count(iter([batch])):
-            for r in out.to_pylist():
-                found[(r["lang"], r["w1"], r["w2"], r["w3"])] += r["c"]
-        return found
-
-    want = total()
-    for name, value in (("FLUSH_TOKENS", 7), ("FLUSH_WORDS", 5), ("_ROWS", 3)):
-        monkeypatch.setattr(C, name, value)
-        assert total() == want
-
-
-def test_more_words_than_a_number_has_bits_for(monkeypatch):
-    batch = pa.RecordBatch.from_pydict({"lang": ["en"], "text": [" ".join(f"w{i % 90}" for i in range(400))]})
-    want = [b.to_pylist() for b in C._count(iter([batch]))]
-    monkeypatch.setattr(C, "_BITS", 4)
-    assert [b.to_pylist() for b in C._count(iter([batch]))] == want
+    want, _ = blocks(batch, 1)
+    for tokens in (10**6, 7):
+        monkeypatch.setattr(C, "FLUSH_TOKENS", tokens)
+        got, where = blocks(batch, 5)
+        assert got == want and all(len(b) == 1 for b in where.values())
+        assert len(set().union(*where.values())) > 1
+
+
+def test_buckets_of_any_number_give_the_same_graph(docs, monkeypatch):
+    want = sorted(map(tuple, C.graph(docs, 3).collect()), key=str)
+    monkeypatch.setattr(C, "BUCKET_CHARACTERS", 30_000)
+    assert sorted(map(tuple, C.graph(docs, 3).collect()), key=str) == want
+
+
+def test_more_words_than_a_key_has_bits_for():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    three, weights = rng.integers(0, 3, (3, 200)), rng.integers(1, 9, 200)
+    wide = three.copy()
+    wide[:, 0] = 1 << 40
+    narrow, c = C._added(three[:, 1:], weights[1:])
+    found, d = C._added(wide, weights)
+    assert (found[:, :-1] == narrow).all() and (d[:-1] == c).all() and d[-1] == weights[0]
 
 
 def test_scores_are_exact_beyond_64_bits(spark):
