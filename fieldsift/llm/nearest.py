@@ -17,8 +17,9 @@ PIVOTS = 64
 BLOCK = 4096
 #: Queries handled together, likewise; small query cells are handled together up to this number.
 QUERY_BLOCK = 1024
-#: Components beyond this are brought back to it, so that scores fit in a long.
-LIMIT = 1 << 24
+#: Components after scaling are below this, and vectors no longer than this squared: else scores would not fit in a
+#: long, which is an error.
+LIMIT, LONGEST = 1 << 31, 2.0**62
 #: Bounds are widened by this part, for rounding in the distances.
 SLACK = 1e-6
 
@@ -27,14 +28,14 @@ def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """`vec_id, q`: floor(scale * x) of every component as whole number, of usable vectors only.
 
     A vector that is null or empty, or holds a null or non-finite component, is left out, and so is a row
-    without id. Vectors of other than the most frequent length cannot be compared with it and are left out too.
+    without id. A component too large for a score that is a long is an error, never a changed one.
     """
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"))
     finite = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     own = own.filter("vec_id is not null and size(x) > 0").filter(finite)
-    limit = float(LIMIT)
-    q = F.transform("x", lambda v: F.least(F.greatest(F.floor(v * scale).cast("double"), F.lit(-limit)), F.lit(limit)).cast("int"))
-    return own.select("vec_id", q.alias("q"))
+    whole = F.transform("x", lambda v: F.floor(v * scale).cast("int"))
+    fits = F.forall("x", lambda v: F.abs(v) * scale < float(LIMIT))
+    return own.select("vec_id", F.when(fits, whole).otherwise(F.raise_error(F.lit("a component is too large for scores to fit in a long"))).alias("q"))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -134,19 +135,27 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, pivots: int
     of each, that a group of queries can need, and only those are sent to it. A large group is dealt out in
     blocks, each solved on its own to k rows a query, and the blocks' results are merged by an aggregate.
 
-    Unusable rows (see `quantised`) take no part. A query with fewer than k others gets all. A repeated id
+    Vectors of each length are compared among themselves. Unusable rows (see `quantised`) take no part. A query with fewer than k others gets all. A repeated id
     counts as several rows for other queries and asks once for each row; its own rows never answer it. An empty
     table gives no row.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score long"
     rows = keep(quantised(vectors), "vectors")
-    lengths = rows.groupBy(F.size("q").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if lengths is None:
-        return spark.createDataFrame([], schema)
-    rows = rows.filter(F.size("q") == lengths.n)
+    found = None
+    for (length,) in rows.select(F.size("q").alias("n")).distinct().orderBy("n").collect():  # one row a length
+        own = _of_one_length(rows.filter(F.size("q") == length), is_query, k, pivots)
+        if own is not None:
+            found = own if found is None else found.unionByName(own)
+    return spark.createDataFrame([], schema) if found is None else found
+
+
+def _of_one_length(rows: DataFrame, is_query: Column, k: int, pivots: int) -> DataFrame | None:
+    spark = rows.sparkSession
     norms = F.aggregate("q", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
     norm2 = rows.agg(F.max(norms)).first()[0]
+    if norm2 >= LONGEST:
+        raise ValueError("vectors are too long for scores to fit in a long")
     picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots)
     centre = _lifted(np.array([r.q for r in picked.select("q").collect()], float), norm2, False)
     data = keep(_celled(rows, centre, norm2, False), "cells")
@@ -160,7 +169,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, pivots: int
     ask_cells = asked.groupBy("cell").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).toPandas()
     need = reachable(centre, summary, nearest, ask_cells, k, float(np.sqrt(norm2)) + 1)
     if need.empty:
-        return spark.createDataFrame([], schema)
+        return None
     # few numbers: one for each pair of cells that need each other, at most pivots x pivots
     groups = grouped(ask_cells, centre)
     need["grp"], ask_cells["grp"] = need.query_cell.map(groups), ask_cells.cell.map(groups)

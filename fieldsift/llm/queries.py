@@ -131,7 +131,8 @@ def _found_sql(name: str, pattern: str) -> str:
 
 
 def _entropy_sql(name: str, letters: str, threshold: float) -> str:
-    allowed = " OR ".join(f"regexp_matches(v, '{p}')" for p in secrets.ALLOWED)
+    # RE2 needs no possessive quantifiers, and has none
+    allowed = " OR ".join(f"regexp_matches(v, '{p.replace('*+', '*').replace('++', '+').replace('}+', '}')}')" for p in secrets.ALLOWED)
     w = secrets.WINDOW
     return f"""{_found_sql(name + "_run", f"[{letters}]{{{w},}}")},
         {name}_w AS (SELECT doc_id, s, v, unnest(range(0, length(v) - {w - 1})) AS a FROM {name}_run WHERE NOT ({allowed})),
@@ -143,6 +144,15 @@ def _entropy_sql(name: str, letters: str, threshold: float) -> str:
         {name} AS (SELECT doc_id, s + min(a) AS s, s + max(a) + {w} AS e FROM {name}_j GROUP BY doc_id, s, island)"""
 
 
+def _without_sql(name: str, of: str, cuts: str) -> str:
+    """What the cuts leave of spans: from a start that no cut holds to the next cut or the end."""
+    return f"""{name}_c AS ({cuts}),
+        {name}_p AS (SELECT doc_id, s AS a, e AS z, s AS p FROM {of} UNION SELECT w.doc_id, w.s, w.e, c.e FROM {of} w JOIN {name}_c c ON c.doc_id = w.doc_id AND c.e > w.s AND c.e < w.e),
+        {name}_q AS (SELECT doc_id, a, p, least(z, coalesce((SELECT min(c.s) FROM {name}_c c WHERE c.doc_id = x.doc_id AND c.s >= x.p), z)) AS q FROM {name}_p x
+            WHERE NOT EXISTS (SELECT 1 FROM {name}_c c WHERE c.doc_id = x.doc_id AND c.s <= x.p AND c.e > x.p)),
+        {name} AS (SELECT doc_id, p AS s, q AS e FROM {name}_q WHERE q - p >= {secrets.WINDOW})"""
+
+
 _WIDE, _NARROW = list(secrets.CLASSES.items())[1], list(secrets.CLASSES.items())[0]
 _SECRETS_SQL = f"""
     WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -155,10 +165,11 @@ _SECRETS_SQL = f"""
             UNION ALL SELECT doc_id, s, 2, e FROM hex WHERE length(v) >= {secrets.HEX_LEAST}),
         {_entropy_sql("narrow", *_NARROW)},
         {_entropy_sql("wide", *_WIDE)},
+        {_found_sql("piece", secrets.PIECE)},
+        {_without_sql("hexes", "narrow", "SELECT doc_id, s, e FROM piece")},
+        {_without_sql("others", "wide", "SELECT doc_id, s, e FROM piece UNION ALL SELECT doc_id, s, e FROM hexes")},
         extra AS (
-            SELECT x.doc_id, x.s, 3 AS k, x.e FROM (
-                SELECT doc_id, s, e FROM narrow UNION ALL
-                SELECT doc_id, s, e FROM wide w WHERE NOT EXISTS (SELECT 1 FROM narrow n WHERE n.doc_id = w.doc_id AND n.s < w.e AND n.e > w.s)) x
+            SELECT x.doc_id, x.s, 3 AS k, x.e FROM (SELECT * FROM hexes UNION ALL SELECT * FROM others) x
             WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = x.doc_id AND b.s <= x.s AND b.e >= x.e)),
         named AS (SELECT *, ['assign', 'access', 'hex', 'entropy'][k + 1] || ':' || s || ':' || e AS name FROM (SELECT * FROM base UNION ALL SELECT * FROM extra)),
         per AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
@@ -251,7 +262,7 @@ ORACLE_SQL: dict[str, str] = {
               AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0
         ), s AS (
             SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
-            FROM x a JOIN x b ON a.vec_id <> b.vec_id
+            FROM x a JOIN x b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
             WHERE a.vec_id % 100 = 0
         ), r AS (
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s

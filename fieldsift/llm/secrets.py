@@ -22,15 +22,17 @@ WINDOW = 20
 #: Class of characters, and the bits a window of them must have. Twenty random characters have about 3.4 bits
 #: out of 16 symbols and 4.0 out of 64; words of one alphabet stay below.
 CLASSES = {"0-9A-Fa-f": 3.1, "A-Za-z0-9+/_-": 3.8}
-#: Candidates that are no secrets whatever their entropy: numbers, words (also joined with short numbers),
-#: identifiers in five groups, placeholders and counted-up strings.
+#: Candidates that are no secrets whatever their entropy: numbers, words (also joined with short numbers) and
+#: identifiers in five groups. Possessive, so that a run of any length is matched without a deeper stack.
 ALLOWED = [
-    r"^[0-9]+$",
-    r"^[A-Za-z]*$",
-    r"^[-_/+]*(?:[A-Za-z]{1,19}|[0-9]{1,8})(?:[-_/+]+(?:[A-Za-z]{1,19}|[0-9]{1,8}))*[-_/+]*$",
+    r"^[0-9]++$",
+    r"^[A-Za-z]*+$",
+    r"^[-_/+]*+(?:[A-Za-z]{1,19}+|[0-9]{1,8}+)(?:[-_/+]++(?:[A-Za-z]{1,19}+|[0-9]{1,8}+))*+[-_/+]*+$",
     r"^[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}$",
-    r"(?i)example|sample|dummy|placeholder|changeme|xxxx|0123456|abcdefg",
 ]
+#: Letters and digits between separators that hold one of these are no secret; what stands beside them may be.
+PLACEHOLDER = r"(?i:example|sample|dummy|placeholder|changeme|xxxx|0123456|abcdefg)"
+PIECE = rf"[A-Za-z0-9]*?{PLACEHOLDER}[A-Za-z0-9]*"
 
 
 def base_spans(text: Column) -> Column:
@@ -99,9 +101,10 @@ def entropy_spans(text: Column, base: Column) -> Column:
 
         found.append(F.flatten(F.transform(kept, lambda s: windows(s))))
     uncovered = lambda s: ~F.exists(base, lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"]))
-    hexes, others = found[0], found[1]
-    # a string of the narrower class is reported once
-    others = F.filter(others, lambda s: ~S.overlaps(s, hexes))
+    pieces = S.matches(text, rf"(?<![A-Za-z0-9]){PIECE}", 3, text.rlike(PLACEHOLDER))
+    hexes = F.flatten(F.transform(found[0], lambda s: S.without(s, pieces, WINDOW)))
+    # a string of the narrower class is reported once; what it leaves of a longer one still counts
+    others = F.flatten(F.transform(found[1], lambda s: S.without(s, F.array_sort(F.concat(hexes, pieces)), WINDOW)))
     return F.filter(F.concat(hexes, others), uncovered)
 
 

@@ -65,6 +65,23 @@ def overlaps(span: Column, others: Column) -> Column:
     return F.exists(others, lambda o: (o["start"] < span["end"]) & (o["end"] > span["start"]))
 
 
+def without(span: Column, cuts: Column, least: int) -> Column:
+    """What `cuts` (by start) leave of a span, in parts of `least` characters or more."""
+
+    def part(end: Column, acc: Column) -> Column:
+        value = span["value"].substr(acc["pos"] - span["start"] + 1, end - acc["pos"])
+        one = F.struct(acc["pos"].alias("start"), span["kind"].alias("kind"), end.alias("end"), value.alias("value"))
+        return F.when(end - acc["pos"] >= least, F.concat(acc["out"], F.array(one))).otherwise(acc["out"])
+
+    def step(acc: Column, c: Column) -> Column:
+        meets = (c["start"] < span["end"]) & (c["end"] > acc["pos"])
+        pos = F.when(meets, F.least(c["end"], span["end"])).otherwise(acc["pos"])
+        return F.struct(pos.alias("pos"), F.when(meets, part(c["start"], acc)).otherwise(acc["out"]).alias("out"))
+
+    begin = F.struct(span["start"].alias("pos"), empty().alias("out"))
+    return F.aggregate(cuts, begin, step, lambda acc: part(span["end"], acc))
+
+
 def replaced(text: Column, spans: Column, tag) -> Column:
     """The text with each span replaced by `tag(span)`; of overlapping ones the first gives the tag."""
     begin = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from tests.llm.conftest import SF
 
@@ -17,7 +18,7 @@ def plain(rows, k, is_query):
     out = []
     for i, q in usable:
         if is_query(i):
-            scores = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in usable if j != i)
+            scores = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in usable if j != i and len(v) == len(q))
             out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scores[:k])]
     return sorted(out)
 
@@ -75,3 +76,21 @@ def test_rows_of_the_own_id_do_not_tighten_the_bound(spark):
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = nearest.top_k(vectors, F.col("vec_id") == 0, k=5, pivots=89)
     assert sorted(map(tuple, got.collect())) == plain(rows, 5, lambda i: i == 0)
+
+
+def test_each_length_is_answered_among_its_own(spark):
+    rng = random.Random(2)
+    rows = [(i, [rng.gauss(0, 1) for _ in range((2, 3, 3, 5)[i % 4])]) for i in range(120)] + [(500, [1.0] * 7)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest.top_k(vectors, F.col("vec_id") % 5 == 0, k=4, pivots=6)
+    assert sorted(map(tuple, got.collect())) == plain(rows, 4, lambda i: i % 5 == 0)
+
+
+def test_large_components_score_exactly_or_are_an_error(spark):
+    schema = "vec_id long, embedding array<double>"
+    rows = [(0, [20_000.0, 0.0]), (1, [30_000.0, 0.25]), (2, [17_000.0, 3.0]), (3, [30_000.0, 1.0]), (4, [-9_999.5, 700_000.0])]
+    got = nearest.top_k(spark.createDataFrame(rows, schema), F.col("vec_id") % 2 == 0, k=3)
+    assert sorted(map(tuple, got.collect())) == plain(rows, 3, lambda i: i % 2 == 0)
+    for far in ([1e30, 0.0], [2.0e6, 2.0e6]):
+        with pytest.raises(Exception, match="fit in a long"):
+            nearest.top_k(spark.createDataFrame([*rows, (9, far)], schema), F.col("vec_id") == 0).collect()

@@ -84,7 +84,7 @@ def test_a_term_that_reveals_an_entity_is_found(spark, docs):
     rows = {r.doc_id: r for r in pii.with_terms(docs(texts)).collect()}
     for i, text in enumerate(texts):
         found = [text[s.start : s.end] for s in rows[i].extra]
-        assert found == (["Zanzibarov"] if i >= 120 else []), (i, found)
+        assert found == (["Zanzibarov"] * 2 if i >= 120 else []), (i, found)
     clean = {r.doc_id: r for r in pii.sanitised(docs(texts)).collect()}
     assert all("@" not in r.text and len(r.text) == r.n_chars for r in clean.values())
     assert "<term>" in clean[121].text and "<email>" in clean[121].text

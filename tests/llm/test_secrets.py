@@ -39,6 +39,18 @@ def plain_windows(s, threshold, w=secrets.WINDOW):
     return [tuple(x) for x in out]
 
 
+def plain_rest(span, cuts, least=secrets.WINDOW):
+    """Maximal parts of a span without any character of the cuts."""
+    free = [not any(a <= i < b for a, b in cuts) for i in range(*span)]
+    out, start = [], None
+    for i, f in enumerate([*free, False]):
+        if f and start is None:
+            start = i
+        elif not f and start is not None:
+            out, start = [*out, (span[0] + start, span[0] + i)], None
+    return [s for s in out if s[1] - s[0] >= least]
+
+
 def plain_extra(text, base):
     groups = []
     for letters, threshold in secrets.CLASSES.items():
@@ -47,8 +59,10 @@ def plain_extra(text, base):
             if len(m[0]) >= secrets.WINDOW and not any(re.search(p, m[0]) for p in secrets.ALLOWED):
                 own += [(m.start() + a, m.start() + b) for a, b in plain_windows(m[0], threshold)]
         groups.append(own)
-    others = [s for s in groups[1] if not any(a < s[1] and b > s[0] for a, b in groups[0])]
-    return sorted(s for s in groups[0] + others if not any(a <= s[0] and b >= s[1] for a, _, b in base))
+    words = [m.span() for m in re.finditer("[A-Za-z0-9]+", text) if re.search(secrets.PLACEHOLDER, m[0])]
+    hexes = [r for s in groups[0] for r in plain_rest(s, words)]
+    others = [r for s in groups[1] for r in plain_rest(s, words + hexes)]
+    return sorted(s for s in hexes + others if not any(a <= s[0] and b >= s[1] for a, _, b in base))
 
 
 def test_query_equals_brute_force(spark):
@@ -99,3 +113,25 @@ def test_incremental_windows_equal_counting(spark):
 
 def test_odd_rows(odd, empty):
     assert secrets.scan(odd).count() == odd.count() and secrets.scan(empty).count() == 0
+
+
+def extra_of(docs, texts):
+    return [[t[s.start : s.end] for s in r.extra] for t, r in zip(texts, sorted(secrets.scan(docs(texts)).collect(), key=lambda r: r.doc_id), strict=True)]
+
+
+def test_secrets_beside_hexadecimals_and_placeholders(docs):
+    rng = random.Random(6)
+    b64 = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(60))
+    hex_ = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    texts = [f"blob/{hex_}/{b64}", f"{hex_[:32]}_{b64}", f"examples/{b64[:40]}", f"{b64[:40]}-sample-{b64[20:60]}", f"x example{b64[:30]} y"]
+    found = extra_of(docs, texts)
+    assert any(b64 in f for f in found[0]) and any(b64 in f for f in found[1]) and any(b64[:40] in f for f in found[2])
+    assert len(found[3]) == 2 and b64[:40] in found[3][0] and b64[20:60] in found[3][1]
+    assert found[4] == []
+    for t, f in zip(texts, found, strict=True):
+        assert [t[a:b] for a, b in plain_extra(t, plain_base(t))] == f
+
+
+def test_very_long_runs_do_not_overflow(docs):
+    texts = ["word-12-" * 125_000, "/".join(["abc"] * 200_000), "a" * 1_000_000, "1" * 500_000, "example" * 50_000]
+    assert extra_of(docs, texts) == [[]] * 5
