@@ -557,19 +557,19 @@ def latest_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_feedback_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event is delivered twice; each is taken once."""
     one, two = (feeds.file_stream(spark, sf_dir, "events.parquet") for _ in range(2))
-    rows = feeds.drained(feeds.once_only(one.unionByName(two), late="60 days"), "append")
+    rows = feeds.drained(feeds.once_only(one.unionByName(two), late="60 days"))
     return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @query("SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY ALL")
 def stream_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = feeds.file_stream(spark, sf_dir, "events.parquet").select("user_id", "event_type", "event_id", "value")
-    return feeds.drained(feeds.latest_state(stream, ["user_id", "event_type"], "event_id"), "complete")
+    return feeds.drained(feeds.latest_state(stream, ["user_id", "event_type"], "event_id"), ["user_id", "event_type"])
 
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = feeds.drained(feeds.rates(feeds.file_stream(spark, sf_dir, "events.parquet")), "complete")
+    rows = feeds.drained(feeds.rates(feeds.file_stream(spark, sf_dir, "events.parquet")), ["start", "event_type"])
     return rows.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "events", F.round("total", 4).alias("total"))
 
 
@@ -577,4 +577,4 @@ def stream_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_known_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = lambda: B.table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("user_id"))
     stream = feeds.file_stream(spark, sf_dir, "events.parquet").select("event_id", "user_id")
-    return feeds.drained(feeds.accepted(stream, known, "user_id"), "append").select("event_id", "user_id")
+    return feeds.drained(feeds.accepted(stream, known, "user_id")).select("event_id", "user_id")
