@@ -265,22 +265,18 @@ def _score_groups(df: DataFrame, score: str, positive: str) -> DataFrame:
     )
 
 
-def roc_auc(df: DataFrame, score: str = "score", positive: str = "y", **running) -> float | None:
-    """Chance that a positive outranks a negative; ties count half."""
+def roc_auc(df: DataFrame, score: str = "score", positive: str = "y", **running) -> DataFrame:
+    """`auc`: chance that a positive outranks a negative; ties count half. One row."""
     run = running_totals(_score_groups(df, score, positive), "s", {"p": "pp", "q": "qq"}, descending=False, **running)
     # negatives strictly below, plus half of those level
     wins = F.sum(F.col("p").cast("double") * (F.col("qq") - F.col("q") / 2))
-    row = run.agg((F.try_divide(wins, F.sum("p").cast("double") * F.sum("q"))).alias("auc")).first()
-    return row["auc"]
+    return run.agg((F.try_divide(wins, F.sum("p").cast("double") * F.sum("q"))).alias("auc"))
 
 
-def average_precision(df: DataFrame, score: str = "score", positive: str = "y", **running) -> float | None:
-    """Precision averaged over the steps of recall, equal scores as one step."""
+def average_precision(df: DataFrame, score: str = "score", positive: str = "y", **running) -> DataFrame:
+    """`ap`: precision averaged over the steps of recall, equal scores as one step. One row."""
     run = running_totals(_score_groups(df, score, positive), "s", {"p": "pp", "q": "qq"}, **running)
-    row = run.agg(
-        F.try_divide(F.sum(F.col("p") * F.col("pp") / (F.col("pp") + F.col("qq"))), F.sum("p")).alias("ap")
-    ).first()
-    return row["ap"]
+    return run.agg(F.try_divide(F.sum(F.col("p") * F.col("pp") / (F.col("pp") + F.col("qq"))), F.sum("p")).alias("ap"))
 
 
 def site_auc(df: DataFrame, *, site: str = "site", score: str = "score", positive: str = "y", least: int = 5) -> DataFrame:

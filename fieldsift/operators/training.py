@@ -59,12 +59,18 @@ def _outside(cube: dict[int, dict[str, int]], fold: int) -> dict[str, int]:
     return dict(out)
 
 
-def out_of_fold(df: DataFrame, assigned: DataFrame, *, group: str, C: float = V.PROBE_C, label: str = "cls", emb: str = "emb") -> tuple[DataFrame, list[str]]:
+def with_folds(df: DataFrame, assigned: DataFrame, group: str) -> DataFrame:
+    """`df` with the fold of each row's group, stored. `assigned`: (group, fold)."""
+    return materialise(null_safe_join(df, assigned.select(group, "fold"), [group]))
+
+
+def out_of_fold(df: DataFrame, assigned: DataFrame | None = None, *, group: str, C: float = V.PROBE_C, label: str = "cls", emb: str = "emb") -> tuple[DataFrame, list[str]]:
     """Probabilities from models that saw neither the row nor its group. `assigned`: (group, fold).
 
-    A fold whose training rows hold one class only gets no prediction (null).
+    Without `assigned` the rows come from `with_folds`. A fold whose training rows hold one class only gets no
+    prediction (null).
     """
-    rows = materialise(null_safe_join(df, assigned.select(group, "fold"), [group]))
+    rows = df if assigned is None else with_folds(df, assigned, group)
     cube = _fold_counts(rows, label)
     classes = sorted({c for per in cube.values() for c in per})
     parts = []
@@ -84,10 +90,10 @@ def out_of_fold(df: DataFrame, assigned: DataFrame, *, group: str, C: float = V.
 
 def tune_c(df: DataFrame, *, group: str, grid: Sequence[float] = V.PROBE_C_GRID, folds: int = V.OOF_FOLDS, label: str = "cls", emb: str = "emb") -> DataFrame:
     """(C, macro_f1, best): mean macro-F1 over group folds for each C; the first of equals is best."""
-    assigned = group_folds(df, group, folds)
+    rows = with_folds(df, group_folds(df, group, folds), group)  # stored once for all values of C
     parts = []
     for place, C in enumerate(grid):
-        scored, classes = out_of_fold(df, assigned, group=group, C=C, label=label, emb=emb)
+        scored, classes = out_of_fold(rows, group=group, C=C, label=label, emb=emb)
         top = F.array(*[F.lit(c) for c in classes])[F.array_position("proba", F.array_max("proba")).cast("int") - 1]
         cells = scored.filter("proba is not null").groupBy("fold", F.col(label).alias("true"), top.alias("pred")).agg(
             F.count(F.lit(1)).alias("n")
@@ -116,8 +122,8 @@ def lowest_passing_score(scored: DataFrame, bar: float = V.IMAGE_PRECISION, *, s
     return 1.0 if lowest is None else float(lowest)
 
 
-def rank_defects(df: DataFrame, *, group: str, key: str = "itemKey", seeds: int = 3, folds: int = V.OOF_FOLDS, C: float = V.DEFECT_PROBE_C, emb: str = "emb") -> tuple[DataFrame, dict]:
-    """Defect scores per photo and the quality of the grouped cross-validation.
+def rank_defects(df: DataFrame, *, group: str, key: str = "itemKey", seeds: int = 3, folds: int = V.OOF_FOLDS, C: float = V.DEFECT_PROBE_C, emb: str = "emb") -> tuple[DataFrame, DataFrame]:
+    """Defect scores per photo, and one row with the quality of the grouped cross-validation.
 
     `df`: fileId, emb, defect (0/1), the group and the item key. Scores are the mean over the seeds,
     pooled within the work item.
@@ -141,8 +147,8 @@ def rank_defects(df: DataFrame, *, group: str, key: str = "itemKey", seeds: int
     ranked = final.select("fileId", F.col("proba")[1].alias("defectScore")).join(
         pooled.select("fileId", F.col("score").alias("cvScore"), F.col("y").alias("weakLabel")), "fileId"
     )
-    quality = {
-        "auc": roc_auc(pooled), "ap": average_precision(pooled), "auc_single": roc_auc(pooled.withColumn("score", F.col("p"))),
-        "threshold": lowest_passing_score(pooled), "photos": sum(counts.values()), "positives": counts.get("1", 0),
-    }
+    single = roc_auc(pooled.withColumn("score", F.col("p"))).withColumnRenamed("auc", "auc_single")
+    size = rows.agg(F.count(F.lit(1)).alias("photos"), F.sum("defect").alias("positives"))
+    quality = roc_auc(pooled).crossJoin(average_precision(pooled)).crossJoin(single).crossJoin(size)  # one row each
+    quality = quality.withColumn("threshold", F.lit(lowest_passing_score(pooled)))
     return ranked, quality

@@ -409,8 +409,8 @@ def verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT round(sum(p * (qq - q / 2)) / (sum(p) * sum(q)), 6) AS auc, round(sum(p * pp / nn) / sum(p), 6) AS ap FROM c""")
 def auc_ap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = B.shipments(spark, sf_dir).select(F.col("conf").alias("score"), (F.col("true") == F.col("pred")).cast("int").alias("y"))
-    found = (evaluation.roc_auc(rows), evaluation.average_precision(rows))
-    return spark.createDataFrame([found], "auc double, ap double").select(F.round("auc", 6).alias("auc"), F.round("ap", 6).alias("ap"))
+    both = evaluation.roc_auc(rows).crossJoin(evaluation.average_precision(rows))  # one row each
+    return both.select(F.round("auc", 6).alias("auc"), F.round("ap", 6).alias("ap"))
 
 
 @query(f"""WITH {PAIRS}, e AS (SELECT DISTINCT run, t, p FROM x WHERE t <> p) SELECT t AS true, p AS pred, count(*) AS runs FROM e GROUP BY ALL HAVING count(*) >= 2""")

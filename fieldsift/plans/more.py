@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldsift import fixed_values as V
-from fieldsift.operators import agreement, deident, evaluation, journal, merge, pool, routing, sampling, splitting, standards, training
+from fieldsift.operators import agreement, deident, evaluation, journal, merge, neighbours, pool, routing, sampling, splitting, standards, training
 from fieldsift.plans import bindings as B
 from fieldsift.plans.catalogue import MANIFEST, PAIRS, ROUTE, _routed, query
 from fieldsift.sources import sectioned
@@ -179,10 +179,36 @@ def oof_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def tune_c(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training.tune_c(_probe_rows(spark, sf_dir), group="site", grid=(1.0, 10.0), folds=3)
+    return training.tune_c(_probe_rows(spark, sf_dir), group="site")
 
 
 @query()
 def defect_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked, _ = training.rank_defects(_probe_rows(spark, sf_dir), group="site", seeds=1, folds=3)
-    return ranked
+    return training.rank_defects(_probe_rows(spark, sf_dir), group="site")[0]
+
+
+@query()
+def defect_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training.rank_defects(_probe_rows(spark, sf_dir), group="site")[1]
+
+
+# --- near-duplicates among embeddings
+
+
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, label % 2 AS part FROM embeddings),
+    v AS (SELECT vec_id AS id, x, part FROM e UNION ALL SELECT vec_id + 2000000000, x, 1 - part FROM e WHERE vec_id % 9 = 0
+        UNION ALL SELECT vec_id + 1000000000, list_transform(x, lambda y, i: CASE WHEN (i - 1 + vec_id) % 4 = 0 THEN CAST(CAST(y * (1 + (vec_id % 11) * 0.06) AS FLOAT) AS DOUBLE) ELSE y END), (vec_id // 5) % 2 FROM e WHERE vec_id % 5 = 0),
+    f AS (SELECT x, min(id) AS id, arg_min(part, id) AS part FROM v GROUP BY x),
+    p AS (SELECT f.id AS a, v.id AS b, 1.0 AS cosine, f.part <> v.part AS "crossPart" FROM v JOIN f USING (x) WHERE v.id <> f.id
+        UNION ALL SELECT a.id, b.id, list_cosine_similarity(a.x, b.x), a.part <> b.part FROM f a JOIN f b ON a.id < b.id WHERE list_cosine_similarity(a.x, b.x) > 0.98)
+    SELECT a, b, round(cosine, 6) AS cosine, "crossPart" FROM p""")
+def embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings with some copied and some slightly changed, in two parts."""
+    e = B.table(spark, sf_dir, "embeddings").withColumn("part", F.col("label") % 2)
+    own = lambda more, emb, part: [(F.col("vec_id") + more).alias("fileId"), emb.alias("emb"), part.cast("int").alias("part")]
+    factor = 1 + (F.col("vec_id") % 11) * 0.06
+    changed = F.transform("embedding", lambda y, i: F.when((i + F.col("vec_id")) % 4 == 0, (y * factor).cast("float")).otherwise(y))
+    rows = e.select(*own(0, F.col("embedding"), F.col("part")))
+    rows = rows.unionByName(e.filter("vec_id % 9 = 0").select(*own(2_000_000_000, F.col("embedding"), 1 - F.col("part"))))
+    rows = rows.unionByName(e.filter("vec_id % 5 = 0").select(*own(1_000_000_000, changed, F.floor(F.col("vec_id") / 5) % 2)))
+    return neighbours.near_duplicates(rows).withColumn("cosine", F.round("cosine", 6))
