@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldsift.functions.boxes import box_list
 from fieldsift.operators.splitting import train_val_groups
+from fieldsift.scale import quantiles
 
 
 def drawn_box_rows(defects: DataFrame) -> DataFrame:
@@ -52,11 +53,12 @@ def pixel_report(boxes: DataFrame, sides: tuple[int, ...] = (640, 1280)) -> Data
     """Median, tenth percentile and share of tiny boxes at each input size. `boxes` carries w and h."""
     out = None
     for side in sides:
-        px = box_pixels(side)
-        one = boxes.filter("w > 0 and h > 0").select(px.alias("px")).agg(
-            F.lit(side).alias("side"), F.count(F.lit(1)).alias("boxes"), F.round(F.percentile("px", 0.5), 1).alias("median_px"),
-            F.round(F.percentile("px", 0.1), 1).alias("p10_px"), F.round(F.avg((F.col("px") < 8).cast("int")), 3).alias("lt8"),
-            F.round(F.avg((F.col("px") < 16).cast("int")), 3).alias("lt16"),
-        )
+        px = boxes.filter("w > 0 and h > 0").select(box_pixels(side).alias("px"))
+        shares = px.agg(
+            F.lit(side).alias("side"), F.count(F.lit(1)).alias("boxes"),
+            F.round(F.avg((F.col("px") < 8).cast("int")), 3).alias("lt8"), F.round(F.avg((F.col("px") < 16).cast("int")), 3).alias("lt16"),
+        )
+        ranks = quantiles(px, "px", {"median_px": 0.5, "p10_px": 0.1})
+        one = shares.crossJoin(ranks).select("side", "boxes", *[F.round(c, 1).alias(c) for c in ("median_px", "p10_px")], "lt8", "lt16")  # one row each
         out = one if out is None else out.union(one)
     return out.filter("boxes > 0").withColumn("usable", F.col("lt16") < 0.05)

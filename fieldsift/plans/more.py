@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldsift import fixed_values as V
-from fieldsift.operators import agreement, deident, evaluation, journal, merge, neighbours, pool, routing, sampling, splitting, standards, training
+from fieldsift.operators import agreement, deident, detection, evaluation, journal, merge, neighbours, pool, routing, sampling, splitting, standards, training
 from fieldsift.plans import bindings as B
 from fieldsift.plans.catalogue import MANIFEST, PAIRS, ROUTE, _routed, query
 from fieldsift.sources import sectioned
@@ -192,6 +192,23 @@ def defect_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.rank_defects(_probe_rows(spark, sf_dir), group="site")[1]
 
 
+# --- box sizes
+
+
+@query("""WITH b AS (SELECT CAST(l_quantity AS INTEGER) * 7 AS dx, 10 + l_linenumber * 37 AS dy, 800 + l_suppkey % 9 * 100 AS w, 600 + l_partkey % 7 * 111 AS h FROM lineitem),
+    p AS (SELECT side, least(dx / 1000.0 * w * side / greatest(w, h), dy / 1000.0 * h * side / greatest(w, h)) AS px FROM b, (SELECT unnest([640, 1280]) AS side)),
+    r AS (SELECT side, count(*) AS boxes, round(quantile_cont(px, 0.5), 1) AS median_px, round(quantile_cont(px, 0.1), 1) AS p10_px, round(avg((px < 8)::INT), 3) AS lt8, round(avg((px < 16)::INT), 3) AS lt16 FROM p GROUP BY side)
+    SELECT *, lt16 < 0.05 AS usable FROM r""")
+def pixel_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = B.table(spark, sf_dir, "lineitem")
+    whole = lambda c: c.cast("int")
+    boxes = li.select(
+        F.lit(0).alias("x0"), F.lit(0).alias("y0"), (whole(F.col("l_quantity")) * 7).alias("x1"), (10 + F.col("l_linenumber") * 37).alias("y1"),
+        (800 + F.col("l_suppkey") % 9 * 100).alias("w"), (600 + F.col("l_partkey") % 7 * 111).alias("h"),
+    )
+    return detection.pixel_report(boxes)
+
+
 # --- near-duplicates among embeddings
 
 

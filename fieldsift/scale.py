@@ -69,6 +69,22 @@ def ordered_rank(df: DataFrame, order: str, *, out: str = "rank", ranges: int |
     return counted.select(*df.columns, F.col(out).cast("long").alias(out))
 
 
+def quantiles(df: DataFrame, column: str, shares: dict[str, float]) -> DataFrame:
+    """One row with the interpolated quantile of `column` for each output name (null without values).
+
+    Equal values are counted first; the values at the two ranks beside a quantile are then found among running
+    counts over value ranges, so no task holds all values.
+    """
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    run = running_totals(counts, "__v", {"__n": "__upto"}, descending=False)
+    ranks = run.agg(*[(F.lit(q) * (F.sum("__n") - 1)).alias(f"__r_{name}") for name, q in shares.items()])
+    at = lambda rank: F.min(F.when(F.col("__upto") > rank, F.col("__v")))
+    beside = run.crossJoin(F.broadcast(ranks)).agg(  # one row of ranks
+        *[x for name in shares for r in [F.col(f"__r_{name}")] for x in (at(F.floor(r)).alias(f"__l_{name}"), at(F.ceil(r)).alias(f"__h_{name}"), F.max(r - F.floor(r)).alias(f"__p_{name}"))]
+    )
+    return beside.select(*[(F.col(f"__l_{n}") + F.col(f"__p_{n}") * (F.col(f"__h_{n}") - F.col(f"__l_{n}"))).alias(n) for n in shares])
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join in which a null key meets a null key."""
     other = right
