@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import suppress
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -9,6 +11,7 @@ from pyspark.sql.types import StructType
 from fieldsift.plans import bindings as B
 from fieldsift.plans.catalogue import query
 from fieldsift.session import scratch_path
+from fieldsift.sources import events
 from fieldsift.streaming import feeds, registry, state
 
 
@@ -75,6 +78,23 @@ def candidate_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _candidate_rows(state.candidates_of(_candidate_log(spark, sf_dir)))
 
 
+@query("""WITH t AS (SELECT max(event_id // 2 + 1) AS top FROM events WHERE event_id % 2 = 0),
+    s AS (SELECT event_type, user_id, CASE WHEN event_id % 2 = 0 THEN event_id // 2 + 1 ELSE top + (event_id + 1) // 2 END AS seq FROM events, t)
+    SELECT event_type AS kind, CAST(user_id AS VARCHAR) AS entity, max(seq) AS seq, 2 AS version FROM s GROUP BY ALL""")
+def event_log_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches made on valid expectations, and one on a state that has moved on, which leaves no trace."""
+    e = B.table(spark, sf_dir, "events")
+    even, own = F.col("event_id") % 2 == 0, [F.col("event_type").alias("kind"), F.col("user_id").cast("string").alias("entity")]
+    rows = e.select(*own, F.col("props").alias("payload"), F.col("ts").cast("timestamp").alias("created_at"), F.ceil(F.col("event_id") / 2).alias("pos"), even.alias("even"))
+    first = rows.filter("even").withColumn("pos", F.col("pos") + 1)
+    log = events.EventLog(spark, scratch_path(spark, "log"))
+    log.append(first, first.select("kind", "entity", F.lit(0).alias("seq")).distinct())
+    log.append(rows.filter("not even"), first.groupBy("kind", "entity").agg(F.max("pos").alias("seq")))
+    with suppress(events.StaleAppend):
+        log.append(first, first.select("kind", "entity", F.lit(0).alias("seq")).distinct())
+    return log.heads().select("kind", "entity", "seq", F.lit(log.version()[0]).alias("version"))
+
+
 PREDICTION = "predictionId string, fileId string, imageSha256 string, modelVersion string, modelSha256 string, catalogVersion string, seq long"
 
 
