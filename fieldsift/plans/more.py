@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldsift import fixed_values as V
-from fieldsift.operators import agreement, deident, detection, evaluation, journal, merge, neighbours, pool, routing, sampling, splitting, standards, training
+from fieldsift.operators import agreement, deident, detection, evaluation, hints, journal, merge, neighbours, pool, routing, sampling, splitting, standards, training
 from fieldsift.plans import bindings as B
 from fieldsift.plans.catalogue import MANIFEST, PAIRS, ROUTE, _routed, query
 from fieldsift.sources import sectioned
@@ -229,3 +229,23 @@ def embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.unionByName(e.filter("vec_id % 9 = 0").select(*own(2_000_000_000, F.col("embedding"), 1 - F.col("part"))))
     rows = rows.unionByName(e.filter("vec_id % 5 = 0").select(*own(1_000_000_000, changed, F.floor(F.col("vec_id") / 5) % 2)))
     return neighbours.near_duplicates(rows).withColumn("cosine", F.round("cosine", 6))
+
+
+def _hints(spark: SparkSession, sf_dir: str, visits: int | None = None) -> DataFrame:
+    rows = B.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("fileId"), F.col("embedding").alias("emb"), F.col("label").alias("cls"))
+    return hints.neighbour_hints(rows, rows.filter("fileId % 50 = 0"), visits=visits).withColumn("cosine", F.round("cosine", 6))
+
+
+@query()
+def neighbour_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index as it is used; its recall is tested against all pairs."""
+    return _hints(spark, sf_dir)
+
+
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, label FROM embeddings),
+    p AS (SELECT q.vec_id AS "fileId", e.vec_id AS near, round(list_cosine_similarity(q.x, e.x), 12) AS c, e.label AS cls FROM e q JOIN e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY "fileId" ORDER BY c DESC, near) AS INTEGER) AS rank FROM p)
+    SELECT "fileId", rank, near, round(c, 6) AS cosine, cls FROM r WHERE rank <= 5""")
+def neighbour_hints_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cell visited."""
+    return _hints(spark, sf_dir, visits=hints.MOST_CELLS)
