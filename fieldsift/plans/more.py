@@ -9,7 +9,8 @@ from fieldsift import fixed_values as V
 from fieldsift.operators import agreement, deident, detection, evaluation, hints, journal, merge, neighbours, pool, routing, sampling, splitting, standards, training
 from fieldsift.plans import bindings as B
 from fieldsift.plans.catalogue import MANIFEST, PAIRS, ROUTE, _routed, query
-from fieldsift.sources import sectioned
+from fieldsift.session import scratch_path
+from fieldsift.sources import sectioned, sinks
 
 
 def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,14 +107,17 @@ def box_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agreement.box_pairs(_boxes(spark, sf_dir), "a", "b").groupBy("kind").agg(F.count(F.lit(1)).alias("boxes"))
 
 
-@query(f"""WITH {MANIFEST}, r AS (SELECT fileId, site, reportDate, CASE WHEN length(title) < 8 OR title IN ('The.', 'Le.') THEN ''
+JUDGED = f"""WITH {MANIFEST}, r AS (SELECT fileId, site, reportDate, CASE WHEN length(title) < 8 OR title IN ('The.', 'Le.') THEN ''
             WHEN regexp_matches(title, ' und | der | die |Der |Die ') THEN 'german' WHEN regexp_matches(title, ' the | of | and |The |Of ') THEN 'english'
             WHEN regexp_matches(title, ' les | des | le |Le |Les ') THEN 'french' WHEN regexp_matches(title, ' el | del | y |El |Del ') THEN 'spanish'
             ELSE 'other' END AS rule FROM (SELECT * REPLACE (trim(title) AS title) FROM m)),
     n AS (SELECT source AS site, 'site-' || lpad(CAST(row_number() OVER (ORDER BY source) AS VARCHAR), 3, '0') AS siteBucket FROM (SELECT DISTINCT source FROM documents))
     SELECT substr(sha256('pepper:' || fileId), 1, 16) AS sampleId, siteBucket, substr(reportDate, 1, 7) AS yearMonth, cls AS humanClass, rule AS ruleClass,
         CASE WHEN rule <> '' AND rule <> cls THEN '1' ELSE '0' END AS humanOverrode, '0' AS hasBox
-    FROM said JOIN r USING (fileId) JOIN n USING (site)""")
+    FROM said JOIN r USING (fileId) JOIN n USING (site)"""
+
+
+@query(JUDGED)
 def deident_judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, none = B.manifest(spark, sf_dir), spark.createDataFrame([], "fileId string")
     allowed = deident.taxonomy(B.LANGUAGE_RULES, spark.createDataFrame([], "label string"))
@@ -249,3 +253,40 @@ def neighbour_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def neighbour_hints_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every cell visited."""
     return _hints(spark, sf_dir, visits=hints.MOST_CELLS)
+
+
+# --- the published pack
+
+
+def _published(spark: SparkSession, sf_dir: str) -> str:
+    """A pack of the language verdicts, of a box a line item and of a criterion a part; returns its folder."""
+    li, part = B.table(spark, sf_dir, "lineitem"), B.table(spark, sf_dir, "part")
+    at, pattern = F.col("l_quantity").cast("int") * 5, F.array(*[F.lit(x) for x in V.DEFECT_PATTERNS])
+    defects = li.select(
+        F.col("l_orderkey").cast("string").alias("fileId"), F.lit("human").alias("source"), pattern[F.col("l_linenumber") % len(V.DEFECT_PATTERNS)].alias("defectType"),
+        F.format_string("[[%d, 0, %d, 300]]", at, at + 300).alias("box"), F.concat(F.lit("QS"), F.lpad((F.col("l_suppkey") % 10000).cast("string"), 4, "0")).alias("qsCode"),
+    )
+    items = part.select(
+        F.concat(F.lit("QS0101-"), "p_partkey").alias("itemKey"), F.lit("A").alias("kind"), F.lit("R").alias("status"),
+        (F.col("p_size") % 2 == 0).alias("billing"), (F.col("p_size") % 3 == 0).alias("penalty"), F.lit(False).alias("contract"),
+    )
+    tables = {"judgements": deident_judgements(spark, sf_dir), "defect_boxes": deident.defect_box_rows(defects, "pepper")[0], "qs_criteria": deident.criteria_rows(items)}
+    allowed = {"taxonomy": [*B.LANGUAGE_RULES.labels(), B.LANGUAGE_RULES.fallback], "defectPattern": [*V.DEFECT_PATTERNS, *V.DEFECT_BUTTON_ONLY]}
+    path = scratch_path(spark, "pack")
+    sinks.publish_pack(tables, allowed, path, version="p1", boundary="what may leave")
+    return path
+
+
+@query(f"""WITH j AS ({JUDGED}) SELECT (SELECT count(*) FROM j) AS judgements, (SELECT count(*) FROM lineitem) AS defect_boxes, (SELECT count(*) FROM part) AS qs_criteria,
+    (SELECT count(*) FROM j WHERE "ruleClass" = '') AS silent, (SELECT count(*) FROM j WHERE "ruleClass" <> '' AND "humanOverrode" = '0') AS agree,
+    (SELECT count(*) FROM j WHERE "humanOverrode" = '1') AS overridden, 'internal-only' AS distribution, sha256('what may leave') AS boundary""")
+def pack_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = sinks.pack_manifest(spark, _published(spark, sf_dir))
+    of = F.col("judgementBreakdown")
+    return said.select(*[F.col("counts")[t].alias(t) for t in V.PACK_TABLES], of["ruleSilent"].alias("silent"), of["agree"].alias("agree"), of["overridden"].alias("overridden"), "distribution", F.col("boundarySha256").alias("boundary"))
+
+
+@query("""SELECT substr(sha256('pepper:' || l_orderkey), 1, 16) AS "sampleId", 'QS' || lpad(CAST(l_suppkey % 10000 AS VARCHAR), 4, '0') AS "qsCode", 'human' AS source,
+    '[' || q || ', 0, ' || (q + 300) || ', 300]' AS box FROM (SELECT *, CAST(l_quantity AS INTEGER) * 5 AS q FROM lineitem)""")
+def pack_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.read_pack(spark, _published(spark, sf_dir))["defect_boxes"].select("sampleId", "qsCode", "source", "box")
