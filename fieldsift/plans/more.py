@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldsift import fixed_values as V
-from fieldsift.operators import agreement, deident, detection, evaluation, hints, journal, merge, neighbours, pool, routing, sampling, splitting, standards, training
+from fieldsift.operators import agreement, checks, deident, detection, evaluation, hints, journal, merge, neighbours, pool, routing, sampling, splitting, standards, training
 from fieldsift.plans import bindings as B
 from fieldsift.plans.catalogue import MANIFEST, PAIRS, ROUTE, _routed, query
 from fieldsift.session import scratch_path
@@ -290,3 +290,27 @@ def pack_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     '[' || q || ', 0, ' || (q + 300) || ', 300]' AS box FROM (SELECT *, CAST(l_quantity AS INTEGER) * 5 AS q FROM lineitem)""")
 def pack_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.read_pack(spark, _published(spark, sf_dir))["defect_boxes"].select("sampleId", "qsCode", "source", "box")
+
+
+# --- integrity checks
+
+
+@query(f"""WITH i AS (SELECT CAST(l_orderkey AS VARCHAR) AS d, CAST(l_orderkey AS VARCHAR) || '-' || {ENTRY} AS k, l_returnflag = 'N' AS due FROM lineitem WHERE l_returnflag <> 'R'),
+    o AS (SELECT CAST(o_orderkey AS VARCHAR) AS d, o_orderkey AS n FROM orders), s AS (SELECT d, count(*) FILTER (due) AS r FROM o LEFT JOIN i USING (d) GROUP BY d),
+    m AS (SELECT 1 AS no, 'enough documents' AS c, count(*) AS n, count(*) >= 100 AS ok FROM o
+        UNION ALL SELECT 2, 'document numbers are unique', 0, true UNION ALL SELECT 3, 'catalogue numbers are unique', 0, true
+        UNION ALL SELECT 4, 'nothing is only listed', 0, true UNION ALL SELECT 5, 'nothing is only parsed', count(*), count(*) = 0 FROM o WHERE n % 97 = 0
+        UNION ALL SELECT 6, 'document ids agree', count(*), count(*) = 0 FROM o WHERE n % 97 <> 0 AND n % 89 = 0
+        UNION ALL SELECT 7, 'every document has items', count(*), count(*) = 0 FROM o WHERE d NOT IN (SELECT d FROM i)
+        UNION ALL SELECT 8, 'item keys are well formed', 0, true UNION ALL SELECT 9, 'item keys are unique', count(*), count(*) = 0 FROM (SELECT k FROM i GROUP BY k HAVING count(*) > 1)
+        UNION ALL SELECT 10, 'items are nested deep enough', 4, true UNION ALL SELECT 11, 'enough billing items', 0, true UNION ALL SELECT 12, 'billing items lie where they may', 0, true
+        UNION ALL SELECT 13, 'enough penalty items', 0, false
+        UNION ALL SELECT 14, 'fixed documents are as expected', count(*), count(*) = 0 FROM s JOIN orders ON d = CAST(o_orderkey AS VARCHAR) WHERE o_orderkey % 31 = 0 AND (r <> 2 OR o_orderpriority NOT LIKE '%H%'))
+    SELECT no, c AS "check", CASE WHEN ok THEN 'pass' ELSE 'fail' END AS status, CAST(n AS VARCHAR) AS detail FROM m""")
+def standards_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders as standards; some are not in the catalogue, others there under another id."""
+    parsed, n = sectioned.parse_standards(_order_lines(spark, sf_dir)), F.col("docNo").cast("long")
+    docs, items = parsed.docs, standards.describe_items(parsed.rows)
+    listed = docs.filter(n % 97 != 0).select("docNo", F.when(n % 89 == 0, F.lit("other")).otherwise(F.col("isoInfoId")).alias("id"), "name")
+    fixed = docs.filter(n % 31 == 0).select("docNo", F.lit(2).cast("long").alias("required"), F.lit(None).cast("long").alias("stages"), F.lit(None).cast("string").alias("shape"), F.lit("H").alias("word"))
+    return checks.check_standards(docs, items, listed, fixed, docs_least=100, depth_least=4, billing_least=0, penalty_least=1)
