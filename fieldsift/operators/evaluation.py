@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldsift import fixed_values as V
+from fieldsift.operators import scoring
 from fieldsift.functions.rules import RuleSet
 from fieldsift.functions.text import blank
 from fieldsift.scale import running_totals
@@ -51,6 +52,19 @@ def run_metrics(report: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def fused_and_single(df: DataFrame, classes: Sequence[str], *, true: str = "true", key: str = "itemKey", proba: str = "proba", identity: str = "fileId", weight: float = 1.0) -> DataFrame:
+    """`kind, top1, macroF1, classes, ghosts, support`: one exam marked twice, each photo alone and with its work item.
+
+    Rows `single` take the likeliest class of a photo's own scores, rows `fused` that after `pool_siblings`. A photo
+    without scores or without a true class is not marked; photos without work item count alike in both.
+    """
+    marked = df.filter(F.col(proba).isNotNull() & F.col(true).isNotNull()).withColumn("__own", F.col(proba))
+    pooled = scoring.pool_siblings(marked, len(classes), key=key, proba=proba, identity=identity, weight=weight)
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), scoring.top_class(F.col(c), classes).alias("pred")) for k, c in (("single", "__own"), ("fused", proba))])
+    answers = pooled.select(F.col(true).alias("true"), F.inline(kinds))
+    return run_metrics(class_report(answers, by=["kind"]), by=["kind"])
+
+
 def _curve(df: DataFrame, confidence: str, correct: str, abstained: str | None) -> DataFrame:
     counts = F.lit(True) if abstained is None else ~F.coalesce(F.col(abstained), F.lit(False))
     return df.filter(counts).groupBy(F.col(confidence).alias("conf")).agg(

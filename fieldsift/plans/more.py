@@ -314,3 +314,22 @@ def standards_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = docs.filter(n % 97 != 0).select("docNo", F.when(n % 89 == 0, F.lit("other")).otherwise(F.col("isoInfoId")).alias("id"), "name")
     fixed = docs.filter(n % 31 == 0).select("docNo", F.lit(2).cast("long").alias("required"), F.lit(None).cast("long").alias("stages"), F.lit(None).cast("string").alias("shape"), F.lit("H").alias("word"))
     return checks.check_standards(docs, items, listed, fixed, docs_least=100, depth_least=4, billing_least=0, penalty_least=1)
+
+
+# --- one exam, photos alone and with their work items
+
+
+@query("""WITH x AS (SELECT l_orderkey, CASE WHEN l_quantity > 25 THEN 'much' ELSE 'little' END AS t, (l_discount + 0.013) / 0.127 AS p FROM lineitem),
+    l AS (SELECT *, ln(p) AS a, ln(1 - p) AS b FROM x), s AS (SELECT l_orderkey, count(*) AS n, sum(a) AS sa, sum(b) AS sb FROM l GROUP BY 1),
+    m AS (SELECT t, p, CASE WHEN n > 1 THEN a + (sa - a) / (n - 1) ELSE a END AS a, CASE WHEN n > 1 THEN b + (sb - b) / (n - 1) ELSE b END AS b FROM l JOIN s USING (l_orderkey)),
+    y AS (SELECT 'single' AS kind, t, CASE WHEN p >= 1 - p THEN 'much' ELSE 'little' END AS g FROM m UNION ALL SELECT 'fused', t, CASE WHEN a >= b THEN 'much' ELSE 'little' END FROM m),
+    f AS (SELECT kind, c, 2 * count(*) FILTER (t = c AND g = c) / (count(*) FILTER (t = c) + count(*) FILTER (g = c)) AS f1 FROM y, (SELECT unnest(['much', 'little']) AS c) GROUP BY ALL)
+    SELECT kind, round(avg((t = g)::INT), 6) AS top1, round((SELECT avg(f1) FROM f WHERE f.kind = y.kind), 6) AS "macroF1", count(*) AS support FROM y GROUP BY kind""")
+def fused_and_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, key = (F.col("l_discount") + 0.013) / 0.127, F.col("l_orderkey").cast("string")
+    rows = B.table(spark, sf_dir, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("fileId"), key.alias("itemKey"),
+        F.when(F.col("l_quantity") > 25, F.lit("much")).otherwise(F.lit("little")).alias("true"), F.array(p, 1 - p).alias("proba"),
+    )
+    marks = evaluation.fused_and_single(rows, ["much", "little"])
+    return marks.select("kind", F.round("top1", 6).alias("top1"), F.round("macroF1", 6).alias("macroF1"), "support")
