@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldsift import fixed_values as V
 from fieldsift.functions.text import first_match, found
+from fieldsift.scale import null_safe_join
 
 
 def item_kind(name: Column) -> Column:
@@ -96,8 +97,13 @@ def kind_shares(items: DataFrame) -> DataFrame:
     return per.crossJoin(F.broadcast(total)).select("kind", "items", F.round(F.col("items") / F.col("total"), 6).alias("share"))  # one row
 
 
+#: What tells one contract from another; a trade of a project can have several.
+CONTRACT = ["project", "trade", "vendor", "docDate"]
+
+
 def clause_summary(clauses: DataFrame) -> DataFrame:
-    return clauses.groupBy("project", "trade", "kind").agg(F.count(F.lit(1)).alias("clauses"), F.count_if("has_number").alias("with_number"))
+    """Clauses of each kind in each contract, and how many of them hold a number."""
+    return clauses.groupBy(*CONTRACT, "kind").agg(F.count(F.lit(1)).alias("clauses"), F.count_if("has_number").alias("with_number"))
 
 
 def describe_clauses(clauses: DataFrame) -> DataFrame:
@@ -117,8 +123,8 @@ def conflict_candidates(items: DataFrame, clauses: DataFrame, trade_docs: DataFr
         return rows.withColumn("topic", F.explode(hit))
 
     left = on_topic(items.filter("status = 'R'"), "name").groupBy("docNo", "topic").agg(F.count(F.lit(1)).alias("items"))
-    right = on_topic(clauses, "text").groupBy("project", "trade", "topic").agg(F.count(F.lit(1)).alias("clauses"))
-    return right.join(trade_docs, "trade").join(left, ["docNo", "topic"]).select("project", "trade", "docNo", "topic", "items", "clauses")
+    right = on_topic(clauses, "text").groupBy(*CONTRACT, "topic").agg(F.count(F.lit(1)).alias("clauses"))
+    return right.join(trade_docs, "trade").join(left, ["docNo", "topic"]).select(*CONTRACT, "docNo", "topic", "items", "clauses")
 
 
 def conflict_evidence(candidates: DataFrame, items: DataFrame, clauses: DataFrame) -> DataFrame:
@@ -126,11 +132,11 @@ def conflict_evidence(candidates: DataFrame, items: DataFrame, clauses: DataFram
     topics = candidates.sparkSession.createDataFrame(V.CONFLICT_TOPICS, "topic string, pattern string")
     want = candidates.join(F.broadcast(topics), "topic")  # six topics
     clear = lambda c: F.col(c).rlike(V.NUMBER_WITH_UNIT) & F.expr(f"{c} rlike pattern")
-    a = items.filter("status = 'R'").join(want.select("project", "trade", "docNo", "topic", "pattern"), "docNo").filter(clear("name")).select(
-        "project", "trade", "docNo", "topic", F.lit("standard").alias("side"), F.col("itemKey").alias("key"), F.col("name").alias("line")
+    a = items.filter("status = 'R'").join(want.select(*CONTRACT, "docNo", "topic", "pattern"), "docNo").filter(clear("name")).select(
+        *CONTRACT, "docNo", "topic", F.lit("standard").alias("side"), F.col("itemKey").alias("key"), F.col("name").alias("line")
     )
-    b = clauses.join(want.select("project", "trade", "docNo", "topic", "pattern"), ["project", "trade"]).filter(clear("text")).select(
-        "project", "trade", "docNo", "topic", F.lit("contract").alias("side"), F.col("clauseKey").alias("key"), F.col("text").alias("line")
+    b = null_safe_join(clauses, want.select(*CONTRACT, "docNo", "topic", "pattern"), CONTRACT).filter(clear("text")).select(
+        *CONTRACT, "docNo", "topic", F.lit("contract").alias("side"), F.col("clauseKey").alias("key"), F.col("text").alias("line")
     )
     return a.unionByName(b)
 

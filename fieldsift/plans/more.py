@@ -333,3 +333,44 @@ def fused_and_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     marks = evaluation.fused_and_single(rows, ["much", "little"])
     return marks.select("kind", F.round("top1", 6).alias("top1"), F.round("macroF1", 6).alias("macroF1"), "support")
+
+
+# --- contracts
+
+
+def _contract_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract text made of the tables: a part opens a contract of its brand, its line items are the clauses."""
+    part, li = B.table(spark, sf_dir, "part"), B.table(spark, sf_dir, "lineitem")
+    file = F.col("p_partkey").cast("string")
+    head = F.concat_ws("\t", F.lit("#DOC"), F.lit("P"), "p_brand", "p_type", file, F.lit("work"))
+    text = F.when(F.col("l_linenumber") % 4 == 0, F.lit("付款10%")).when(F.col("l_linenumber") % 4 == 1, F.lit("厚度誤差3mm以內")).when(F.col("l_linenumber") % 4 == 2, F.lit("罰款")).otherwise(F.lit("其餘"))
+    body = F.concat_ws("\t", F.concat_ws(".", "l_orderkey", "l_linenumber"), F.lit("s"), text)
+    pos = F.col("l_orderkey").cast("long") * 100 + F.col("l_linenumber")
+    heads = part.select(file.alias("file"), F.lit(-1).cast("long").alias("pos"), head.alias("text"))
+    clauses = li.join(part.select(F.col("p_partkey").alias("l_partkey")), "l_partkey", "left_semi").select(F.col("l_partkey").cast("string").alias("file"), pos.alias("pos"), body.alias("text"))
+    return heads.unionByName(clauses).withColumn("block", F.lit(0).cast("long"))
+
+
+def _clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return standards.describe_clauses(sectioned.parse_contracts(_contract_lines(spark, sf_dir)).rows)
+
+
+_CLAUSES = """c AS (SELECT p_brand AS trade, p_type AS vendor, CAST(p_partkey AS VARCHAR) AS d, l_linenumber % 4 AS k FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+
+
+@query(f"""WITH {_CLAUSES} SELECT 'P' AS project, trade, vendor, d AS "docDate", CASE k WHEN 0 THEN 'payment' WHEN 1 THEN 'tolerance' WHEN 2 THEN 'penalty' ELSE 'other' END AS kind,
+    count(*) AS clauses, count(*) FILTER (k < 2) AS with_number FROM c GROUP BY ALL""")
+def clause_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return standards.clause_summary(_clauses(spark, sf_dir))
+
+
+@query(f"""WITH {_CLAUSES}, i AS (SELECT p_brand AS trade, count(*) FILTER (p_size % 2 = 0) AS items FROM part GROUP BY 1)
+    SELECT trade, d AS "docDate", '厚度' AS topic, items, count(*) AS clauses FROM c JOIN i USING (trade) WHERE k = 1 AND items > 0 GROUP BY ALL""")
+def topic_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of a brand are also its standard's items; every other one gives a thickness."""
+    part = B.table(spark, sf_dir, "part")
+    name = F.when(F.col("p_size") % 2 == 0, F.lit("厚度10mm")).otherwise(F.lit("清潔"))
+    items = part.select(F.concat(F.lit("QS"), "p_brand").alias("docNo"), F.col("p_partkey").cast("string").alias("itemNo"), F.lit("R").alias("status"), name.alias("name"))
+    trades = part.select(F.col("p_brand").alias("trade"), F.concat(F.lit("QS"), "p_brand").alias("docNo")).distinct()
+    found = standards.conflict_candidates(standards.describe_items(items), _clauses(spark, sf_dir), trades)
+    return found.select("trade", "docDate", "topic", "items", "clauses")
