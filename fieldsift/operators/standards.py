@@ -190,32 +190,6 @@ def catalogue_alignment(catalog: DataFrame, docs: DataFrame) -> DataFrame:
     return left.join(right, "docNo", "full").withColumn("status", status)
 
 
-def integrity_checks(docs: DataFrame, items: DataFrame, catalog: DataFrame, *, least_docs: int) -> DataFrame:
-    """(check, ok, detail) rows over the parsed standards."""
-    facts = docs.agg(F.count(F.lit(1)).alias("docs"), F.count_distinct("docNo").alias("numbers"))
-    bad_keys = items.filter(~F.col("itemKey").rlike(r"^[^-]+-[0-9]+(\.[0-9]+)*$")).agg(F.count(F.lit(1)).alias("bad_keys"))
-    empty = docs.join(items.select("docNo").distinct(), "docNo", "left_anti").agg(F.count(F.lit(1)).alias("empty"))
-    off = catalogue_alignment(catalog, docs).agg(
-        F.count_if(F.col("status").isin("parsed only", "listed only")).alias("apart"), F.count_if(F.col("status") == "id differs").alias("ids")
-    )
-    one = facts
-    for other in (bad_keys, empty, off):
-        one = one.crossJoin(F.broadcast(other))  # one row each
-    row = lambda name, ok, detail: F.struct(F.lit(name).alias("check"), ok.alias("ok"), detail.cast("string").alias("detail"))
-    return one.select(
-        F.inline(
-            F.array(
-                row("enough documents", F.col("docs") >= least_docs, F.col("docs")),
-                row("document numbers are unique", F.col("docs") == F.col("numbers"), F.col("docs") - F.col("numbers")),
-                row("item keys are well formed", F.col("bad_keys") == 0, F.col("bad_keys")),
-                row("every document has items", F.col("empty") == 0, F.col("empty")),
-                row("catalogue and documents align", F.col("apart") == 0, F.col("apart")),
-                row("document ids agree", F.col("ids") == 0, F.col("ids")),
-            )
-        )
-    )
-
-
 def standards_index(catalog: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame:
     """Catalogue with item and stage counts; documents missing from the catalogue show up too."""
     shapes = document_shapes(docs, items).select("docNo", "items", "required", "stages", "shape", F.col("title").alias("__t"))
