@@ -66,35 +66,64 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
-
-
 def gate_table(p: dict[str, np.ndarray]) -> np.ndarray:
     return p["embed"] @ p["gates_in"] + p["gates_bias"]
 
 
+def _gate_inputs(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The inputs' part of the gates for `ids` (steps, streams), as (steps, gates, streams)."""
+    rows = table.take(ids.reshape(-1), axis=0).reshape(*ids.shape, 3 * STATE)
+    return np.ascontiguousarray(rows.transpose(0, 2, 1))
+
+
 def advance(state: np.ndarray, a: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """One step: the next state from the input's part of the gates and the state."""
-    s = state @ u
+    """One step: the next state from the input's part of the gates and the state, a row a stream.
+
+    Fastest on transposed arrays, where the slices of each gate lie together.
+    """
+    s = (u.T @ state.T).T
     zr = _sigmoid(a[:, : 2 * STATE] + s[:, : 2 * STATE])
     new = np.tanh(a[:, 2 * STATE :] + zr[:, STATE:] * s[:, 2 * STATE :])
     return new + zr[:, :STATE] * (state - new)
 
 
-def log_likelihood(p: dict[str, np.ndarray], states: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Natural log-probability of each id after its state: of the class, and of a frequent word within it."""
-    of = classes_of(ids)
-    out = log_softmax(states @ p["class_out"] + p["class_bias"])[np.arange(len(ids)), of]
+def _logits(states: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Outputs less the largest of each column; a column a state."""
+    x = weights @ states
+    x += bias[:, None]
+    x -= x.max(axis=0)
+    return x
+
+
+def _grouped(of: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Places of the frequent words in order of class, and each class with its range there."""
     order = np.argsort(of, kind="stable")
-    cuts = np.searchsorted(of[order], np.arange(FREQUENT + 1))
-    for k in range(FREQUENT):
-        rows = order[cuts[k] : cuts[k + 1]]
-        if rows.size:
+    cuts = np.searchsorted(of[order], np.arange(FREQUENT + 1)).tolist()
+    return order[: cuts[-1]], [(k, cuts[k], cuts[k + 1]) for k in range(FREQUENT) if cuts[k] < cuts[k + 1]]
+
+
+def log_likelihood(p: dict[str, np.ndarray], states: np.ndarray, ids: np.ndarray, rows: int = 4096) -> np.ndarray:
+    """Natural log-probability of each id after its state: of the class, and of a frequent word within it.
+
+    Worked through `rows` at a time, which fit a cache.
+    """
+    out = np.empty(len(ids), np.float32)
+    weights = np.ascontiguousarray(p["class_out"].T)
+    for at in range(0, len(ids), rows):
+        h, part = states[at : at + rows].T, ids[at : at + rows]
+        of = classes_of(part)
+        x = _logits(h, weights, p["class_bias"])
+        ll = x[of, np.arange(len(part))]
+        ll -= np.log(np.exp(x, out=x).sum(axis=0))
+        order, groups = _grouped(of)
+        h, words, within = h[:, order], part[order], np.empty(len(order), np.float32)
+        for k, a, b in groups:
             own = slice(k * SIZE, (k + 1) * SIZE)
-            within = log_softmax(states[rows] @ p["word_out"][own].T + p["word_bias"][own])
-            out[rows] += within[np.arange(rows.size), ids[rows] - k * SIZE]
+            x = _logits(h[:, a:b], p["word_out"][own], p["word_bias"][own])
+            within[a:b] = x[words[a:b] - k * SIZE, np.arange(b - a)]
+            within[a:b] -= np.log(np.exp(x, out=x).sum(axis=0))
+        ll[order] += within
+        out[at : at + rows] = ll
     return out
 
 
@@ -111,7 +140,7 @@ def score(flat: np.ndarray, texts: list[np.ndarray], together: int = 512, window
     for at in range(0, len(texts), together):
         group = order[at : at + together]
         size = lengths[group]  # falling
-        state, before = np.zeros((len(group), STATE), np.float32), np.zeros(len(group), np.int64)
+        state, before = np.zeros((STATE, len(group)), np.float32).T, np.zeros(len(group), np.int64)
         for left in range(0, int(size[0]), window):
             live = int(np.searchsorted(-size, -left, side="left"))  # texts longer than `left`
             width = int(min(window, size[0] - left))
@@ -119,41 +148,52 @@ def score(flat: np.ndarray, texts: list[np.ndarray], together: int = 512, window
             for j in range(live):
                 part = texts[group[j]][left : left + width]
                 ids[: len(part), j] = part
-            state, before = state[:live], before[:live]
-            seen, states = np.vstack([before[None], np.maximum(ids[:-1], 0)]), np.empty((width, live, STATE), np.float32)
+            before = before[:live]
+            seen = np.vstack([before[None], np.maximum(ids[:-1], 0)])
+            inputs, states = _gate_inputs(table, seen), np.zeros((STATE, width, live), np.float32)
             for t in range(width):
                 # texts that have ended stay at the right and are cut off
                 n = int(np.searchsorted(-size[:live], -(left + t), side="left"))
-                state[:n] = advance(state[:n], table[seen[t, :n]], u)
-                states[t] = state
+                if n < len(state):
+                    state = np.asfortranarray(state[:n])
+                state = advance(state, inputs[t, :, :n].T, u)
+                states[:, t, :n] = state.T
             before = np.maximum(ids[-1], 0)
             row, col = np.nonzero(ids >= 0)
-            ll = log_likelihood(p, states[row, col], ids[row, col])
+            ll = log_likelihood(p, states[:, row, col].T, ids[row, col])
             total[group[:live]] += np.bincount(col, ll, live)
     return total
 
 
+def _softmax_errors(x: np.ndarray, right: np.ndarray, share: float) -> np.ndarray:
+    """Gradients at the outputs `x` (a column a state), in place; `right` is the output that came."""
+    np.exp(x, out=x)
+    x *= share / x.sum(axis=0)
+    x[right, np.arange(len(right))] -= share
+    return x
+
+
 def _errors(p: dict, states: np.ndarray, ids: np.ndarray, grad: dict) -> np.ndarray:
-    """Gradients of the mean loss over the outputs; adds those of the output weights, hands back the states'."""
-    n, of = len(ids), classes_of(ids)
-    d = np.exp(log_softmax(states @ p["class_out"] + p["class_bias"]))
-    d[np.arange(n), of] -= 1
-    d /= n
-    grad["class_out"] += states.T @ d
-    grad["class_bias"] += d.sum(axis=0)
-    back = d @ p["class_out"].T
-    order = np.argsort(of, kind="stable")
-    cuts = np.searchsorted(of[order], np.arange(FREQUENT + 1))
-    for k in range(FREQUENT):
-        rows = order[cuts[k] : cuts[k + 1]]
-        if rows.size:
-            own = slice(k * SIZE, (k + 1) * SIZE)
-            w = np.exp(log_softmax(states[rows] @ p["word_out"][own].T + p["word_bias"][own]))
-            w[np.arange(rows.size), ids[rows] - k * SIZE] -= 1
-            w /= n
-            grad["word_out"][own] += w.T @ states[rows]
-            grad["word_bias"][own] += w.sum(axis=0)
-            back[rows] += w @ p["word_out"][own]
+    """Gradients of the mean loss over the outputs; adds those of the output weights, hands back the states'.
+
+    States are columns, here and in what is handed back.
+    """
+    share, of = np.float32(1 / len(ids)), classes_of(ids)
+    d = _softmax_errors(_logits(states, np.ascontiguousarray(p["class_out"].T), p["class_bias"]), of, share)
+    grad["class_out"] += states @ d.T
+    grad["class_bias"] += d.sum(axis=1)
+    back = p["class_out"] @ d
+    order, groups = _grouped(of)
+    h, words = states[:, order], ids[order]
+    inner = np.empty_like(h)
+    for k, a, b in groups:
+        own = slice(k * SIZE, (k + 1) * SIZE)
+        w = p["word_out"][own]
+        d = _softmax_errors(_logits(h[:, a:b], w, p["word_bias"][own]), words[a:b] - k * SIZE, share)
+        grad["word_out"][own] += d @ h[:, a:b].T
+        grad["word_bias"][own] += d.sum(axis=1)
+        inner[:, a:b] = w.T @ d
+    back[:, order] += inner
     return back
 
 
@@ -173,38 +213,45 @@ def train(flat: np.ndarray, stream: np.ndarray, rate: float) -> np.ndarray:
     y = y.reshape(streams, length).T
     p = unpack(flat)
     m, v, step = np.zeros_like(flat), np.zeros_like(flat), 0
-    state = np.zeros((streams, STATE), np.float32)
+    state = np.zeros((STATE, streams), np.float32)
     for left in range(0, length, WINDOW):
         xs, ys = x[left : left + WINDOW], y[left : left + WINDOW]
         width = len(xs)
-        table, u = gate_table(p), p["gates_state"]
-        olds, zs, rs, news, subs = ([None] * width for _ in range(5))
-        states = np.empty((width, streams, STATE), np.float32)
+        u_t = np.ascontiguousarray(p["gates_state"].T)
+        carries_on = (xs != 0).astype(np.float32)
+        gates = _gate_inputs(gate_table(p), xs)  # becomes what the gates let through
+        z, r, new = gates[:, :STATE], gates[:, STATE : 2 * STATE], gates[:, 2 * STATE :]
+        olds, subs, states = (np.empty((width, STATE, streams), np.float32) for _ in range(3))
         for t in range(width):
-            state = state * (xs[t] != 0)[:, None].astype(np.float32)
-            s, a = state @ u, table[xs[t]]
-            z, r = _sigmoid(a[:, :STATE] + s[:, :STATE]), _sigmoid(a[:, STATE : 2 * STATE] + s[:, STATE : 2 * STATE])
-            new = np.tanh(a[:, 2 * STATE :] + r * s[:, 2 * STATE :])
-            olds[t], zs[t], rs[t], news[t], subs[t] = state, z, r, new, s[:, 2 * STATE :]
-            state = states[t] = new + z * (state - new)
+            old = np.multiply(state, carries_on[t], out=olds[t])
+            s, zr = u_t @ old, gates[t, : 2 * STATE]
+            zr += s[: 2 * STATE]
+            zr[:] = _sigmoid(zr)
+            subs[t] = s[2 * STATE :]
+            new[t] += r[t] * subs[t]
+            np.tanh(new[t], out=new[t])
+            state = np.add(new[t], z[t] * (old - new[t]), out=states[t])
         step_grad = np.zeros_like(flat)
         grad = unpack(step_grad)
-        outer = _errors(p, states.reshape(-1, STATE), ys.reshape(-1), grad).reshape(states.shape)
-        carried = np.zeros((streams, STATE), np.float32)
-        inputs = np.empty((width, streams, 3 * STATE), np.float32)
+        columns = np.ascontiguousarray(states.transpose(1, 0, 2)).reshape(STATE, -1)
+        outer = _errors(p, columns, ys.reshape(-1), grad).reshape(STATE, width, streams)
+        to_new, to_z, to_r = (1 - z) * (1 - new * new), (olds - new) * z * (1 - z), subs * r * (1 - r)
+        carried = np.zeros((STATE, streams), np.float32)
+        inputs, through = np.empty_like(gates), np.empty_like(gates)
         for t in range(width - 1, -1, -1):
-            dh = outer[t] + carried
-            dn = dh * (1 - zs[t]) * (1 - news[t] ** 2)
-            dz = dh * (olds[t] - news[t]) * zs[t] * (1 - zs[t])
-            dr = dn * subs[t] * rs[t] * (1 - rs[t])
-            ds = np.concatenate([dz, dr, dn * rs[t]], axis=1)
-            inputs[t] = np.concatenate([dz, dr, dn], axis=1)
-            grad["gates_state"] += olds[t].T @ ds
-            carried = (dh * zs[t] + ds @ u.T) * (xs[t] != 0)[:, None]
-        da, ids = inputs.reshape(-1, 3 * STATE), xs.reshape(-1)
+            dh, da, ds = outer[:, t] + carried, inputs[t], through[t]
+            np.multiply(dh, to_z[t], out=da[:STATE])
+            dn = np.multiply(dh, to_new[t], out=da[2 * STATE :])
+            np.multiply(dn, to_r[t], out=da[STATE : 2 * STATE])
+            ds[: 2 * STATE] = da[: 2 * STATE]
+            np.multiply(dn, r[t], out=ds[2 * STATE :])
+            carried = (dh * z[t] + p["gates_state"] @ ds) * carries_on[t]
+        grad["gates_state"] += np.matmul(olds, through.transpose(0, 2, 1)).sum(axis=0)
+        da, ids = np.ascontiguousarray(inputs.transpose(0, 2, 1)).reshape(-1, 3 * STATE), xs.reshape(-1)
         grad["gates_bias"] += da.sum(axis=0)
-        grad["gates_in"] += p["embed"][ids].T @ da
-        np.add.at(grad["embed"], ids, da @ p["gates_in"].T)
+        grad["gates_in"] += p["embed"].take(ids, axis=0).T @ da
+        cells = (ids[:, None] * EMBED + np.arange(EMBED)).reshape(-1)
+        grad["embed"] += np.bincount(cells, (da @ p["gates_in"].T).reshape(-1), p["embed"].size).reshape(-1, EMBED)
         norm = float(np.sqrt((step_grad**2).sum()))
         step_grad *= min(1.0, 1.0 / (norm + 1e-9))
         step += 1
