@@ -143,11 +143,13 @@ def conflict_evidence(candidates: DataFrame, items: DataFrame, clauses: DataFram
 
 def answering_clauses(answers: DataFrame, clauses: DataFrame) -> DataFrame:
     """Clauses that answer an item, in the order of the mapping."""
-    return answers.join(clauses, "clauseKey").select("itemKey", "pos", "clauseKey", "text")
+    # clauses come with a place of their own
+    return answers.select("itemKey", "pos", "clauseKey").join(clauses.select("clauseKey", "text"), "clauseKey").select("itemKey", "pos", "clauseKey", "text")
 
 
 def interface_clauses(interfaces: DataFrame, clauses: DataFrame) -> DataFrame:
-    return interfaces.join(clauses, "clauseKey").select("name", "pos", "clauseKey", "trade", "no", "text", "note")
+    said = clauses.select("clauseKey", "trade", "no", "text")
+    return interfaces.select("name", "pos", "clauseKey", "note").join(said, "clauseKey").select("name", "pos", "clauseKey", "trade", "no", "text", "note")
 
 
 def contract_gaps(items: DataFrame, answers: DataFrame, trade_docs: DataFrame) -> DataFrame:

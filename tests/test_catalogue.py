@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from fieldsift.plans import catalogue, ingest, more, review, streams  # noqa: F401  registers itself
+from fieldsift.plans import catalogue, ingest, more, norms, review, streams  # noqa: F401  registers itself
 
 SF = "/root/testdata/sf0.001"
 
