@@ -184,16 +184,16 @@ def detection_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- trees, checklists, names of error pictures
 
 
-@query("""SELECT r_name AS l1, 'land ' || n_name AS l2, s_name AS l3 FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey
-    WHERE coalesce(s_name, 'land ' || n_name) LIKE '%1%'""")
+@query("""SELECT DISTINCT r_name AS l1, 'land ' || n_name AS l2, c_mktsegment AS l3 FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey AND n_nationkey % 4 > 0
+    WHERE coalesce(c_mktsegment, 'land ' || n_name) LIKE '%N%'""")
 def tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions, their nations and suppliers as the tree; nations without suppliers are leaves themselves."""
-    leaves = B.table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.collect_list(F.struct(F.col("s_name").alias("name"))).alias("children"))
-    nations = B.table(spark, sf_dir, "nation").join(leaves, "n_nationkey", "left")
+    """Regions, their nations and the customers' segments there as the tree; every fourth nation is a leaf itself."""
+    segments = B.table(spark, sf_dir, "customer").filter("c_nationkey % 4 > 0").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.collect_set(F.struct(F.col("c_mktsegment").alias("name"))).alias("children"))
+    nations = B.table(spark, sf_dir, "nation").join(segments, "n_nationkey", "left")
     named = F.concat(F.lit('{"en": "x", "zh-TW": " land '), F.col("n_name"), F.lit('"}'))
     middle = nations.groupBy("n_regionkey").agg(F.collect_list(F.struct(named.alias("name"), "children")).alias("children"))
     tree = B.table(spark, sf_dir, "region").join(middle, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("name"), "children")
-    return trees.search_tree(trees.flatten_tree(tree), "1")
+    return trees.search_tree(trees.flatten_tree(tree), "N")
 
 
 @query("""SELECT CAST(p_partkey AS VARCHAR) AS "itemNo", CASE WHEN p_size % 3 = 0 THEN 'O' ELSE 'R' END AS status, CASE WHEN p_size % 5 = 0 THEN '' ELSE p_name END AS name

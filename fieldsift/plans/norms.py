@@ -12,12 +12,12 @@ from fieldsift.plans.catalogue import MANIFEST, query
 from fieldsift.plans.more import _clauses, _contract_lines
 from fieldsift.sources import sectioned
 
-# --- standards: five parts in a row are one item and its sub-items; in some groups nothing hangs below
+# --- standards: five parts in a row are one item and its sub-items; in some groups nothing hangs below. A document has four such groups, at every size
 
 NAMES = ["請款憑證：", "逾期罰款", "依合約圖說", "磁磚間隙3mm", "每日清潔", "抗壓試驗", '厚度誤差5%"', "外觀"]
 
 _KIND = "CASE " + " ".join(f"WHEN regexp_matches(name, '{p}') THEN '{k}'" for p, k in V.ITEM_KINDS) + f" ELSE '{V.ITEM_KIND_DEFAULT}' END"
-_ITEMS = f"""g AS (SELECT p_partkey AS k, p_partkey // 5 AS g FROM part), b AS (SELECT k, 'QS' || lpad(CAST(g % 12 AS VARCHAR), 2, '0') || lpad(CAST(g // 12 % 10 AS VARCHAR), 2, '0') AS doc,
+_ITEMS = f"""g AS (SELECT p_partkey AS k, p_partkey // 5 AS g FROM part), b AS (SELECT k, 'QS' || lpad(CAST(g % 12 AS VARCHAR), 2, '0') || '-' || g // 48 AS doc,
         CASE WHEN k % 5 = 0 THEN '' || k ELSE (k - k % 5) || '.' || k % 5 END AS no, CASE WHEN k % 5 = 0 THEN 1 ELSE 2 END AS depth,
         CASE WHEN k % 5 = 0 AND g % 3 = 0 OR k % 5 > 0 AND k % 4 = 0 THEN 'O' ELSE 'R' END AS status, [{", ".join(f"'{x}'" for x in NAMES)}][k % 8 + 1] AS name FROM g WHERE k % 5 = 0 OR g % 7 > 0),
     i AS (SELECT *, doc || '-' || no AS key, {_KIND} AS kind FROM b), d AS (SELECT DISTINCT doc FROM i)"""
@@ -29,7 +29,7 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
     top, optional = k % 5 == 0, F.when(k % 5 == 0, g % 3 == 0).otherwise(k % 4 == 0)
     rows = B.table(spark, sf_dir, "part").filter(top | (g % 7 > 0)).select(
-        F.concat(F.lit("QS"), two(g % 12), two(F.floor(g / 12) % 10)).alias("docNo"),
+        F.concat(F.lit("QS"), two(g % 12), F.lit("-"), F.floor(g / 48)).alias("docNo"),
         F.when(top, k.cast("string")).otherwise(F.concat_ws(".", k - k % 5, k % 5)).alias("itemNo"),
         F.when(optional, F.lit("O")).otherwise(F.lit("R")).alias("status"), F.array(*[F.lit(x) for x in NAMES])[(k % 8).cast("int")].alias("name"),
         F.lit("f").alias("file"), F.lit(0).alias("block"), k.alias("pos"),
@@ -69,12 +69,12 @@ def stage_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return standards.stage_lists(_docs(items), items).select("docNo", "needs_inference", shown.alias("stages"), F.when(F.col("orphans").isNotNull(), F.size("orphans")).alias("orphans"))
 
 
-_LISTED = """l AS (SELECT 'QS' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') || '01' AS doc, CASE WHEN n_nationkey % 4 = 0 THEN 'other' ELSE 'idQS' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') || '01' END AS id, n_name FROM nation)"""
+_LISTED = """l AS (SELECT 'QS' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') || '-0' AS doc, CASE WHEN n_nationkey % 4 = 0 THEN 'other' ELSE 'idQS' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') || '-0' END AS id, n_name FROM nation)"""
 
 
 def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nations as a catalogue of documents, some of which nobody has parsed."""
-    key, doc = F.col("n_nationkey"), F.concat(F.lit("QS"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0"), F.lit("01"))
+    key, doc = F.col("n_nationkey"), F.concat(F.lit("QS"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0"), F.lit("-0"))
     return B.table(spark, sf_dir, "nation").select(doc.alias("docNo"), F.when(key % 4 == 0, F.lit("other")).otherwise(F.concat(F.lit("id"), doc)).alias("id"), F.col("n_name").alias("name"))
 
 
