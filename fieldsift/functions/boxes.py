@@ -27,8 +27,16 @@ _NUMBER = r'"?\s*[+-]?[0-9]+(?:\.[0-9]+)?\s*"?'
 FOUR = rf"^\s*\[\s*{_NUMBER}(?:\s*,\s*{_NUMBER}){{3}}\s*\]\s*$"
 
 
+#: A list of lists of whole numbers, quoted or not, as nearly all texts are: read without a JSON parser.
+_WHOLE = r'(?:-?(?:0|[1-9][0-9]{0,8})|"-?(?:0|[1-9][0-9]{0,8})")'
+_LIST = rf"\[ *{_WHOLE}(?: *, *{_WHOLE})*+ *\]"
+PLAIN = rf"^\[ *{_LIST}(?: *, *{_LIST})*+ *\]$"
+
+
 def box_list(text: Column) -> Column:
     """The entries of a JSON list that are boxes of four numbers; null when the text is no list."""
     entries = F.filter(try_json(text, "array<string>"), lambda e: e.rlike(FOUR))
     numbers = lambda e: F.transform(F.regexp_extract_all(e, F.lit(r"[+-]?[0-9]+(?:\.[0-9]+)?"), F.lit(0)), lambda v: v.cast("double").cast("int"))
-    return F.transform(entries, lambda e: numbers(e))
+    bare = lambda c, *signs: bare(F.replace(c, F.lit(signs[0]), F.lit("")), *signs[1:]) if signs else c
+    plain = F.transform(F.split(bare(text, "[", '"', " "), r"\],"), lambda e: F.split(bare(e, "]"), ",").cast("array<int>"))
+    return F.when(text.rlike(PLAIN), F.filter(plain, lambda e: F.size(e) == 4)).otherwise(F.transform(entries, lambda e: numbers(e)))

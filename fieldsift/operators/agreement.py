@@ -10,6 +10,9 @@ from fieldsift.functions.boxes import box_list, iou
 from fieldsift.functions.text import blank, strip
 from fieldsift.scale import materialise
 
+#: Boxes that an annotator drew on a photo, up to which the photo is settled as a whole; a fuller one goes through grid cells.
+FEW = 64
+
 
 def label_problems(labels: DataFrame) -> DataFrame:
     """Blank or repeated ids; either makes an annotator's list unusable."""
@@ -58,7 +61,8 @@ def numbered_boxes(defects: DataFrame, source: str, order: str = "seq") -> DataF
     """(fileId, i, type, box) of one annotator; `i` orders boxes as they were recorded."""
     return (
         defects.filter(F.col("source") == source)
-        .select("fileId", F.col("defectType").alias("type"), F.col(order).alias("__o"), F.posexplode(box_list(F.col("box"))).alias("__p", "box"))
+        .select("fileId", F.col("defectType").alias("type"), F.col(order).alias("__o"), F.posexplode_outer(box_list(F.col("box"))).alias("__p", "box"))
+        .filter("box is not null")  # with outer, the list is read once and not again for a filter before
         .select("fileId", F.struct("__o", "__p").alias("i"), "type", "box")
     )
 
@@ -80,18 +84,41 @@ def _zones(df: DataFrame, spread: int) -> DataFrame:
     return df.withColumn("zx", F.explode(axis(0, 2))).withColumn("zy", F.explode(axis(1, 3)))
 
 
+def _full_photos(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(fileId) of photos on which either side has more than FEW boxes, stored."""
+    per = [x.groupBy("fileId").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > FEW).select("fileId") for x in (a, b)]
+    return materialise(per[0].union(per[1]).distinct())
+
+
+def _parted(boxes: DataFrame, full: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Boxes of the other photos, and those of the full ones."""
+    return boxes.join(full, "fileId", "left_anti"), boxes.join(full, "fileId", "left_semi")
+
+
+def _compared(met: DataFrame, match: float) -> DataFrame:
+    return met.withColumn("iou", iou(F.col("box"), F.col("other"))).filter(F.col("iou") >= match).select("fileId", "i", "j", "iou")
+
+
 def close_pairs(a: DataFrame, b: DataFrame, *, match: float = V.IOU_MATCH) -> DataFrame:
     """(fileId, i, j, iou) of boxes that overlap enough to be the same.
 
-    Boxes meet through grid cells, so no photo ever yields all its combinations.
+    A photo of a few boxes yields all its combinations as they are compared; on a fuller one, where they would grow
+    with the square, boxes meet through grid cells.
     """
     if match < 0.5:
         raise ValueError("the grid is built for overlaps of at least one half")
-    left_zones = _zones(a, 1)
-    right_zones = _zones(b, 0).select("fileId", "zx", "zy", F.col("i").alias("j"), F.col("box").alias("other"))
+    full = _full_photos(a, b)
+    slim = a.select("fileId", "i", "box"), b.select("fileId", F.col("i").alias("j"), F.col("box").alias("other"))
+    if full.isEmpty():
+        return _compared(slim[0].join(slim[1], "fileId"), match)
+    (few_a, full_a), (few_b, full_b) = _parted(slim[0], full), _parted(slim[1], full)
+    return _compared(few_a.join(few_b, "fileId"), match).unionByName(_grid_pairs(full_a, full_b, match))
+
+
+def _grid_pairs(a: DataFrame, b: DataFrame, match: float) -> DataFrame:
+    right = _zones(b.select("fileId", "j", F.col("other").alias("box")), 0).withColumnRenamed("box", "other")
     # one level and one cell per box on the right: a pair meets exactly once
-    met = left_zones.join(right_zones, ["fileId", "zx", "zy"]).withColumn("iou", iou(F.col("box"), F.col("other")))
-    return met.filter(F.col("iou") >= match).select("fileId", "i", "j", "iou")
+    return _compared(_zones(a, 1).join(right, ["fileId", "zx", "zy"]), match)
 
 
 def match_boxes(pairs: DataFrame) -> DataFrame:
@@ -124,11 +151,49 @@ def _reverse(c: str) -> Column:
     return F.struct((-F.col(f"{c}.__o")).alias("o"), (-F.col(f"{c}.__p")).alias("p"))
 
 
+def _settled(a: DataFrame, b: DataFrame, match: float = V.IOU_MATCH) -> DataFrame:
+    """`box_pairs` of photos with few boxes, each photo by itself: one shuffle, and no pair is stored."""
+    side = lambda df, first: df.select("fileId", F.lit(first).alias("first"), F.struct("i", "type", "box").alias("x"))
+    listed = lambda is_first: F.array_sort(F.collect_list(F.when(F.col("first") == is_first, F.col("x"))))
+    lone = F.when(F.col("fileId").isNull(), F.struct("first", "x.i"))  # boxes of no known photo match nothing
+    photos = side(a, True).unionByName(side(b, False)).groupBy("fileId", lone.alias("lone")).agg(listed(True).alias("xs"), listed(False).alias("ys"))
+    row = lambda kind, one, other, share: F.struct(kind.alias("kind"), one.alias("a"), other.alias("b"), share.alias("iou"))
+
+    def best(x: Column, free: Column) -> Column:
+        """The greatest overlap with a free box and minus that box's place: of equal ones the first."""
+        each = F.transform(free, lambda y, at: F.struct(iou(x["box"], y["box"]).alias("iou"), (-at).alias("at")))
+        return F.array_max(F.filter(each, lambda e: e["iou"] >= match))
+
+    def settle(state: Column, step: Column) -> Column:
+        x, found = step["x"], step["found"]
+        y = F.get(state["free"], -found["at"])
+        kind = F.when(x["type"] == y["type"], F.lit("agree")).otherwise(F.lit("type conflict"))
+        done = F.when(found.isNull(), row(F.lit("only first"), x["type"], F.lit(""), F.lit(0.0))).otherwise(row(kind, x["type"], y["type"], F.round(found["iou"], 3)))
+        left = F.when(found.isNull(), state["free"]).otherwise(F.filter(state["free"], lambda _, at: at != -found["at"]))
+        return F.struct(left.alias("free"), F.concat(state["out"], F.array(done)).alias("out"))
+
+    # what is found is looked up once, by way of a list of one
+    one = lambda state, x: F.transform(F.array(F.struct(x.alias("x"), best(x, state["free"]).alias("found"))), lambda step: settle(state, step))[0]
+    none = F.array().cast("array<struct<kind:string,a:string,b:string,iou:double>>")
+    ended = photos.select("fileId", F.aggregate("xs", F.struct(F.col("ys").alias("free"), none.alias("out")), one).alias("s"))
+    alone = F.transform("s.free", lambda y: row(F.lit("only second"), F.lit(""), y["type"], F.lit(0.0)))
+    return ended.select("fileId", F.inline(F.concat("s.out", alone)))
+
+
 def box_pairs(defects: DataFrame, first: str, second: str, *, order: str = "seq") -> DataFrame:
     """(fileId, kind, a, b, iou): matched boxes that agree or conflict in type, and boxes left alone."""
     if not first or not second or first == second:
         raise ValueError("two different sources are needed")
-    a, b = materialise(numbered_boxes(defects, first, order)), materialise(numbered_boxes(defects, second, order))
+    a, b = numbered_boxes(defects, first, order), numbered_boxes(defects, second, order)
+    full = _full_photos(a, b)
+    if full.isEmpty():
+        return _settled(a, b)
+    (few_a, full_a), (few_b, full_b) = _parted(a, full), _parted(b, full)
+    return _settled(few_a, few_b).unionByName(_settled_by_rounds(materialise(full_a), materialise(full_b)))
+
+
+def _settled_by_rounds(a: DataFrame, b: DataFrame) -> DataFrame:
+    """`box_pairs` of photos of any number of boxes."""
     matched = match_boxes(close_pairs(a, b))
     types = (
         matched.join(a.select("fileId", "i", F.col("type").alias("a")), ["fileId", "i"])

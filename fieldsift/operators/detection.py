@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldsift.functions.boxes import box_list
 from fieldsift.operators.splitting import train_val_groups
-from fieldsift.scale import quantiles
+from fieldsift.scale import materialise, quantiles
 
 
 def drawn_box_rows(defects: DataFrame) -> DataFrame:
@@ -20,7 +20,13 @@ def drawn_box_rows(defects: DataFrame) -> DataFrame:
 
 def boxes_by_pattern(defects: DataFrame) -> DataFrame:
     """Every well-formed box under its pattern."""
-    return defects.select(F.col("defectType").alias("pattern"), "fileId", F.explode(box_list(F.col("box"))).alias("box"))
+    # with outer, the list is read once and not again for a filter before
+    return defects.select(F.col("defectType").alias("pattern"), "fileId", F.explode_outer(box_list(F.col("box"))).alias("box")).filter("box is not null")
+
+
+def pattern_counts(boxes: DataFrame) -> DataFrame:
+    """(pattern, boxes), stored: a row a pattern, for those who need no more of the boxes than that."""
+    return materialise(boxes.groupBy("pattern").agg(F.count(F.lit(1)).alias("boxes")))
 
 
 def keep_frequent(boxes: DataFrame, least: int) -> DataFrame:

@@ -176,9 +176,8 @@ def detection_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT t AS pattern, CAST(i AS INTEGER) AS "classId", c AS boxes FROM n WHERE c >= 10""")
 def detection_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers go to all patterns in name order; patterns of fewer than ten boxes are not trained on."""
-    boxes = detection.boxes_by_pattern(_defects(spark, sf_dir))
-    kept = detection.keep_frequent(boxes, 10).groupBy("pattern").agg(F.count(F.lit(1)).alias("boxes"))
-    return kept.join(detection.class_ids(boxes), "pattern").select("pattern", "classId", "boxes")
+    counts = detection.pattern_counts(detection.boxes_by_pattern(_defects(spark, sf_dir)))
+    return counts.filter("boxes >= 10").join(detection.class_ids(counts), "pattern").select("pattern", "classId", "boxes")
 
 
 # --- trees, checklists, names of error pictures

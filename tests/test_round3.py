@@ -4,6 +4,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from fieldsift.functions import boxes
+from fieldsift.operators import agreement
 from fieldsift.plans import catalogue, ingest, more, norms, review, streams  # noqa: F401  registers itself
 
 
@@ -28,3 +30,39 @@ def test_human_references_of_odd_first_lines(spark, against_sql):
     rows = [(i - 5, t, "en", "src1", len(t or "")) for i, t in enumerate(lines)]
     got, want = against_sql("human_references", documents=spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
     assert got == want
+
+
+def _drawn(spark, boxes):
+    """Defects of (photo, source, type, box) in that order."""
+    rows = [(f, s, t, f"[[{x}, {y}, {x + w}, {y + w}]]", n) for n, (f, s, t, (x, y, w)) in enumerate(boxes)]
+    return spark.createDataFrame(rows, "fileId string, source string, defectType string, box string, seq long")
+
+
+def test_photos_of_few_boxes_need_no_grid(spark, monkeypatch):
+    def grid(*_):
+        raise AssertionError("81 rows for every box")
+
+    monkeypatch.setattr(agreement, "_zones", grid)
+    df = _drawn(spark, [("p", "a", "t", (0, 0, 100)), ("p", "a", "u", (4, 0, 100)), ("p", "b", "t", (5, 0, 100)), ("q", "b", "t", (5, 0, 100)), (None, "a", "t", (0, 0, 9)), (None, "b", "t", (0, 0, 9))])
+    a, b = agreement.numbered_boxes(df, "a"), agreement.numbered_boxes(df, "b")
+    assert sorted(r.i["__o"] for r in agreement.close_pairs(a, b).collect()) == [0, 1]
+    got = sorted((r.fileId or "", r.kind, r.a, r.b) for r in agreement.box_pairs(df, "a", "b").collect())
+    assert got == [("", "only first", "t", ""), ("", "only second", "", "t"), ("p", "agree", "t", "t"), ("p", "only first", "u", ""), ("q", "only second", "", "t")]
+
+
+def test_full_and_other_photos_are_settled_alike(spark, monkeypatch):
+    few = [(f"p{i % 5}", "ab"[i % 2], "tu"[i % 3 % 2], (i * 37 % 50, i * 11 % 40, 90 + i % 30)) for i in range(60)]
+    df = _drawn(spark, few)
+    run = lambda: sorted(map(tuple, agreement.box_pairs(df, "a", "b").collect()))
+    alone = run()
+    monkeypatch.setattr(agreement, "FEW", 2)
+    assert run() == alone and len({r[1] for r in alone}) > 2
+
+
+def test_plain_boxes_are_read_as_the_parser_reads_them(spark, monkeypatch):
+    texts = ['[[1, 2, 3, 4], [5,6,7]]', '[[-1, "2", 3, 4],[9, 8, 7, 6]]', '[[1,2,3,4], "x"]', '[ [1, 2, 3, 4] ]', '[[01, 2, 3, 4]]', '[[1, 2, 3, "4]]', '[[1, 2', '[]', '', '[[1.5, 2, 3, 4]]', '[[1, 2, 3, 999999999]]', None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    read = lambda: [r[0] for r in df.select(boxes.box_list(df["t"])).collect()]
+    quick = read()
+    monkeypatch.setattr(boxes, "PLAIN", "^never$")
+    assert read() == quick and quick[:2] == [[[1, 2, 3, 4]], [[-1, 2, 3, 4], [9, 8, 7, 6]]]
