@@ -69,6 +69,22 @@ def ordered_rank(df: DataFrame, order: str, *, out: str = "rank", ranges: int |
     return counted.select(*df.columns, F.col(out).cast("long").alias(out))
 
 
+def last_before(df: DataFrame, order: Sequence[str], value: str, out: str, ranges: int | None = None) -> DataFrame:
+    """Add `out`: the last non-null `value` in the rows before, over the whole table in the order of `order` (unique).
+
+    Rows are dealt into ranges, as in `running_totals`; only one value a range is carried between them.
+    """
+    many = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialise(df.repartitionByRange(many, *order).withColumn("__b", F.spark_partition_id()))
+    filled = F.when(F.col(value).isNotNull(), F.struct(*order))
+    # one row per range, so neither this window nor the broadcast side exceeds their number
+    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ranged.groupBy("__b").agg(F.max_by(value, filled).alias("__e"))
+    carried = F.broadcast(ends.select("__b", F.last("__e", ignorenulls=True).over(before).alias("__c")))
+    inside = Window.partitionBy("__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return ranged.join(carried, "__b").select(*df.columns, F.coalesce(F.last(value, ignorenulls=True).over(inside), "__c").alias(out))
+
+
 def quantiles(df: DataFrame, column: str, shares: dict[str, float]) -> DataFrame:
     """One row with the interpolated quantile of `column` for each output name (null without values).
 

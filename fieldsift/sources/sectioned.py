@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fieldsift.scale import last_before
+
 LINE_SCHEMA = "file string, block long, pos long, text string"
 
 
@@ -27,9 +29,8 @@ def carry_forward(lines: DataFrame, header: str, out: str) -> DataFrame:
     ends = lines.groupBy("file", "block").agg(
         F.max_by(header, F.when(F.col(header).isNotNull(), F.col("pos"))).alias("__end")
     )
-    # one row per file split
-    earlier = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select("file", "block", F.last("__end", ignorenulls=True).over(earlier).alias("__carried"))
+    # one row per file split, of which there may be as many as files
+    carried = last_before(ends, ["file", "block"], "__end", "__carried").select("file", "block", "__carried")
     return (
         lines.withColumn("__own", F.last(header, ignorenulls=True).over(before))
         .join(carried, ["file", "block"])
