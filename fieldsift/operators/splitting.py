@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from fieldsift import fixed_values as V
 from fieldsift.operators.pool import today_text
-from fieldsift.scale import hash_rank, materialise, take_by_hash
+from fieldsift.scale import hash_rank, materialise, ordered_rank, take_by_hash
+from fieldsift.session import scratch_path
 
 
 def latest_test_days(df: DataFrame, *, fraction: float = V.TEST_FRACTION, today: str | None = None) -> DataFrame:
@@ -39,40 +40,43 @@ def _candidate_key() -> Column:
     )
 
 
+#: The largest page of candidate days: pages grow up to it, so that their number stays small beside the days'.
+MOST_PAGE = 1 << 14
+
+
 class _Candidates:
-    """Test days that hold a rare class, best first, fetched in pages from a stored table."""
+    """Test days that hold a rare class, best first, fetched in pages from a stored table numbered in that order.
+
+    Each page is a range of numbers, which the files' statistics lead to: no page sorts or reads the table again.
+    """
 
     def __init__(self, table: DataFrame, page: int):
-        self.table, self.page = table.withColumn("k", _candidate_key()), page
+        numbered = ordered_rank(table.withColumn("k", F.struct("cls", _candidate_key().alias("key"))), "k", out="n").drop("k")
+        path = scratch_path(table.sparkSession, "candidates")
+        numbered.sortWithinPartitions("n").write.parquet(path)
+        self.table = table.sparkSession.read.schema(numbered.schema).parquet(path)
+        self.page: dict[str, int] = defaultdict(lambda: page)
         self.pages: dict[str, list] = {}
-        self.more: dict[str, bool] = defaultdict(lambda: True)
-        self.last: dict[str, tuple] = {}
+        ends = self.table.groupBy("cls").agg(F.min("n").alias("least"), F.max("n").alias("most")).collect()  # rare classes only
+        self.left = {r["cls"]: (r["least"], r["most"]) for r in ends}
 
     def _fetch(self, cls: str, quota: int) -> None:
-        rows = self.table.filter((F.col("cls") == cls) & (F.col("cost") <= quota))
-        if cls in self.last:
-            density, got, cheap, site, day = self.last[cls]
-            after = F.struct(
-                F.lit(density).cast("double").alias("density"), F.lit(got).cast("long").alias("got"),
-                F.lit(cheap).cast("long").alias("cheap"), F.lit(site).cast("string").alias("constrId"),
-                F.lit(day).cast("string").alias("reportDate"),
-            )
-            rows = rows.filter(F.col("k") < after)
-        got_rows = rows.orderBy(F.col("k").desc()).limit(self.page).collect()
-        self.more[cls] = len(got_rows) == self.page
-        self.pages[cls] = got_rows[::-1]
-        if got_rows:
-            self.last[cls] = tuple(got_rows[-1]["k"])
+        least, most = self.left[cls]
+        first = max(least, most - self.page[cls] + 1)
+        rows = self.table.filter(F.col("n").between(first, most) & (F.col("cost") <= quota))
+        self.pages[cls] = sorted(rows.collect(), key=lambda r: r["n"])
+        self.left[cls] = least, first - 1
+        self.page[cls] = max(self.page[cls], min(MOST_PAGE, 2 * self.page[cls]))
 
     def best(self, cls: str, quota: int, usable) -> object | None:
-        """The best day that can still move. Whatever is unusable now stays so: quotas and sites only shrink."""
+        """The best day that can still move, given once. Whatever is unusable now stays so: quotas and sites only shrink."""
         while True:
             rows = self.pages.get(cls, [])
             while rows:
-                if usable(rows[-1]):
-                    return rows[-1]
-                rows.pop()
-            if not self.more[cls]:
+                if usable(day := rows.pop()):
+                    return day
+            least, most = self.left.get(cls, (1, 0))
+            if most < least:
                 return None
             self._fetch(cls, quota)
 
@@ -132,7 +136,8 @@ def rare_class_floor(
                 continue
             quota -= day["cost"]
             taken[day["constrId"]] += 1
-            gone.add((day["constrId"], day["reportDate"]))
+            if sum(n > 0 for n in day["mix"].values()) > 1:  # else no other class offers it again
+                gone.add((day["constrId"], day["reportDate"]))
             for c, n in day["mix"].items():
                 train[c] += n
             moved.append((day["constrId"], day["reportDate"], int(day["cost"]), cls, int(day["got"])))
