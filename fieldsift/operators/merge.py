@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from fieldsift import fixed_values as V
 from fieldsift.functions.text import blank
 from fieldsift.operators.pool import class_name_problem
-from fieldsift.scale import join_blank_safe
+
+#: Shares in which the rows of one label meet the catalogue.
+SPREAD = 64
 
 
 def merge_manifest(old: DataFrame, new: DataFrame, *, partial: bool, api_host: str = "") -> DataFrame:
@@ -86,16 +88,19 @@ def response_problems(results: DataFrame, packet: DataFrame, pool: DataFrame, ca
     `packet`: fileId, imageHash, contextHash. `pool`: fileId, imageHash, contextHash as of now.
     `catalog`: label.
     """
-    known = catalog.select(F.col("label"), F.lit(True).alias("__known")).distinct()
+    # rows of one label are many: they meet the catalogue in SPREAD shares, by file
+    shares = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).alias("__s")
+    known = catalog.select(F.col("label"), F.lit(True).alias("__known")).distinct().select("*", shares)
+    share = F.pmod(F.xxhash64("fileId"), F.lit(SPREAD).cast("long")).alias("__s")
     item = packet.select("fileId", F.col("imageHash").alias("__pi"), F.col("contextHash").alias("__pc"))
     now = pool.select("fileId", F.col("imageHash").alias("__ni"), F.col("contextHash").alias("__nc"), F.lit(True).alias("__in"))
     strange = (
-        results.select("fileId", F.explode("alternatives").alias("label"))
-        .join(known, "label", "left_anti").select("fileId").distinct().withColumn("__strange", F.lit(True))
+        results.select("fileId", share, F.explode("alternatives").alias("label"))
+        .join(known, ["label", "__s"], "left_anti").select("fileId").distinct().withColumn("__strange", F.lit(True))
     )
     placed = results.join(item, "fileId", "left").join(now, "fileId", "left").join(strange, "fileId", "left")
-    row = join_blank_safe(placed, known, "label", "fileId")
-    is_known = F.coalesce("__known", F.lit(False))
+    row = placed.select("*", share).join(known, ["label", "__s"], "left")
+    is_known = F.coalesce("__known", F.lit(False)) & (blank("label") != "")
     empty = lambda c: F.trim(blank(c)) == ""
     decision = F.col("decision")
     checks: list[tuple[str, Column]] = [

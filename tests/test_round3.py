@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldsift.functions import boxes
-from fieldsift.operators import agreement, splitting
+from fieldsift.operators import agreement, merge, splitting
 from fieldsift.plans import catalogue, ingest, more, norms, review, streams  # noqa: F401  registers itself
 from fieldsift.sources import sectioned
 
@@ -101,3 +101,17 @@ def test_rare_floor_pages_are_few_and_give_the_greedy_choice(spark, monkeypatch)
             got[f"rare{i % 3}"] += 1
     assert len({(r.constrId, r.reportDate) for r in moved}) == len(moved) and min(got.values()) >= 60, got
     assert len(fetched) <= 40
+
+
+def test_rows_of_one_label_meet_the_catalogue_in_shares(spark, against_sql):
+    orders = spark.range(600).selectExpr("id AS o_orderkey", "'1-URGENT' AS o_orderpriority")
+    got, want = against_sql("response_problems", orders=orders)
+    assert got == want
+    c = spark.createDataFrame([("a-b",), ("",)], "label string")
+    one = "fileId string, imageHash string, contextHash string"
+    held = spark.createDataFrame([("f", "h", "c")], one)
+    results = spark.createDataFrame([("f", "h", "existing", "", "d", "seen", "why", [""], None, None, "v1", "m")], "fileId string, imageHash string, decision string, label string, candidateDefinition string, visualEvidence string, reason string, alternatives array<string>, titleEvidence string, titleRelation string, catalogVersion string, model string")
+    faults = merge.response_problems(results, held, held, c, "v1")
+    assert [r.problem for r in faults.collect()] == ["unknown class"]
+    joins = re.findall(r"Join Left\w+, [^\n]*label[^\n]*", faults._jdf.queryExecution().optimizedPlan().toString())
+    assert len(joins) == 2 and all("__s" in j for j in joins)
