@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldsift.scale import materialise
@@ -18,6 +18,9 @@ SAME = 0.98
 MISS = 1e-9
 #: Vectors in a bucket that are compared pair by pair; those of a larger one are told apart by more hyperplanes.
 CROWD = 64
+#: Hyperplanes of the first bands beyond the binary digits of the table's size: unlike vectors seldom share a bucket,
+#: and a pair costs its two vectors, a longer band only some more keys.
+MORE_BITS = 5
 #: Hyperplanes a band gains at each such turn, and the most it may have: vectors that agree on so many all but coincide.
 STEP, MOST_BITS = 6, 40
 SEED = 17
@@ -41,7 +44,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def _keys(rows: DataFrame, bits: int, bands: int, seed: int) -> DataFrame:
-    """`id, band, key` of every vector: which side of each of the band's hyperplanes it lies on."""
+    """`id, key` of every vector: the band, and which side of each of its hyperplanes the vector lies on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -58,34 +61,33 @@ def _keys(rows: DataFrame, bits: int, bands: int, seed: int) -> DataFrame:
                 for at in range(0, bands, 16):
                     some = min(16, bands - at)
                     sides = (x @ planes[size][:, at * bits : (at + some) * bits] > 0).reshape(len(own), some, bits)
-                    keys = sides @ weights
+                    keys = (sides @ weights) | (np.arange(at, at + some, dtype=np.int64) << bits)
                     ids = batch.column("id").take(pa.array(np.repeat(own, some)))
-                    band = np.tile(np.arange(at, at + some, dtype=np.int32), len(own))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(band), pa.array(keys.ravel())], ["id", "band", "key"])
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(keys.ravel())], ["id", "key"])
 
-    return rows.select("id", "u").mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, band int, key long")
+    return rows.select("id", "u").mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, key long")
 
 
 def candidates(rows: DataFrame, least: float = SAME, miss: float = MISS, crowd: int = CROWD) -> DataFrame:
     """Distinct pairs `a < b` of `rows` (`id`, unit vector `u`) that some bucket holds together.
 
-    The first bands have as many hyperplanes as the table's size has binary digits. Vectors of a crowded bucket
+    The first bands have MORE_BITS hyperplanes more than the table's size has binary digits. Vectors of a crowded bucket
     meet again in bands of more hyperplanes, again enough of them for `miss`, so a crowd costs more bands, not
     more pairs that have nothing in common; no pair is given up.
     """
-    bits, turn, pairs = max(8, math.ceil(math.log2(max(2, rows.count())))), 0, None
+    bits, turn, pairs = max(8, math.ceil(math.log2(max(2, rows.count()))) + MORE_BITS), 0, None
     while True:
-        keys = materialise(_keys(rows, bits, bands_needed(bits, least, miss), SEED + turn))
-        sizes = keys.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        last = bits >= MOST_BITS
-        small = sizes if last else sizes.filter(F.col("n") <= crowd)
-        held = keys.join(small.drop("n"), ["band", "key"])
-        found = held.select("band", "key", F.col("id").alias("a")).join(held.select("band", "key", F.col("id").alias("b")), ["band", "key"]).filter("a < b")
+        last, id_ = bits >= MOST_BITS, F.col("id")
+        # the keys move once; only buckets of several vectors are stored, and a crowd's rows never meet in one
+        size = F.count(F.lit(1)).over(Window.partitionBy("key"))
+        held = materialise(_keys(rows, bits, bands_needed(bits, least, miss), SEED + turn).withColumn("n", size).filter("n > 1"))
+        small = held if last else held.filter(F.col("n") <= crowd)
+        found = small.select("key", id_.alias("a")).join(small.select("key", id_.alias("b")), "key").filter("a < b")
         found = found.select("a", "b").distinct()
         pairs = found if pairs is None else pairs.unionByName(found)
         if last:
             return pairs.distinct()
-        crowded = materialise(keys.join(sizes.filter(F.col("n") > crowd).drop("n"), ["band", "key"]).select("id").distinct())
+        crowded = materialise(held.filter(F.col("n") > crowd).select("id").distinct())
         if crowded.isEmpty():
             return pairs.distinct()
         rows = materialise(rows.join(crowded, "id", "left_semi"))

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fieldsift.operators import neighbours
 
@@ -52,3 +53,10 @@ def test_bands_hold_the_stated_chance():
 
 def test_none(spark):
     assert got(spark, []) == set() and got(spark, [(1, [1.0, 0.0], "a")]) == set()
+
+
+def test_unlike_vectors_are_seldom_proposed(spark):
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(i, rng.standard_normal(64).tolist()) for i in range(1500)], "id long, emb array<double>")
+    found = neighbours.candidates(rows.select("id", neighbours.unit(F.col("emb")).alias("u")))
+    assert found.count() < 4 * 1500
