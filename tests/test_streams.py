@@ -58,6 +58,21 @@ def test_any_order_of_arrival_ends_in_the_same_state(spark):
         assert sorted(map(tuple, got.collect())) == want
 
 
+def test_candidate_states_are_columns_and_follow_the_lifecycle(spark, tmp_path):
+    kinds = ["propose", "approve", "propose", "reject", None]
+    log = [(f"c{n // 25}", n, kinds[(n * 7 + n // 3) % 5], f"l{n}", f"d{n}" if n % 4 else " ", "no\u3000" if n % 3 else "\u3000", "tree", [f"f{n % 6}"] if n % 5 else None) for n in range(200)]
+    df = spark.createDataFrame(log, state.CANDIDATE)
+    parts = [df.filter(f"seq % 3 = {n}") for n in (2, 0, 1)]
+    with state.rocks(spark):
+        got = {r.candidateId: r for r in feeds.Feed(spark).newest(parts, state.candidate_states, ["candidateId"]).collect()}
+    for c in {r[0] for r in log}:
+        events = [{"seq": s, "kind": k, "label": la, "definition": d, "complete": state.complete(d, x, b), "fileIds": f or []} for c_, s, k, la, d, x, b, f in log if c_ == c]
+        want = state.candidate_after(events)
+        assert {k: got[c][k] for k in want} == want
+    plan = state.candidate_states(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Pandas" not in plan and "Python" not in plan
+
+
 def test_a_late_review_ends_a_decision(spark):
     schema = "fileId string, kind string, seq long, reviewSeq long, action string"
     parts = [[("a", "decision", 5, 3, "uncertain"), ("b", "decision", 9, None, "excluded")], [("a", "review", 3, None, None)], [("a", "review", 7, None, None)]]
