@@ -82,3 +82,11 @@ def test_changed_files_are_refused(spark, tmp_path):
     os.path.exists(crc) and os.remove(crc)
     with pytest.raises(sinks.PackError, match="differ from the manifest"):
         sinks.read_pack(spark, path)
+
+
+def test_rows_are_counted_while_cells_are_checked(spark, tmp_path, monkeypatch):
+    def again(*_):
+        raise AssertionError("the stored tables are read once more")
+
+    monkeypatch.setattr(sinks, "_counted", again)
+    assert publish(tables(spark), str(tmp_path / "p1")).first().counts == {"judgements": 2, "defect_boxes": 1, "qs_criteria": 0}
