@@ -25,6 +25,8 @@ from fieldsift.llm.common import texts
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pieces whose ids a task remembers, in each of two generations, and windows; results stay the same whatever it is.
 REMEMBERED = 400_000
+#: Rows that a task turns into numbers of Python, or back, at a time; Spark's batches may hold 10,000 long texts.
+ROWS = 128
 _NONE = 1 << 40  # above all ranks
 _LEAF = 8  # bytes of a leaf of the tree
 _SHORT = 24  # bytes of a window that is remembered
@@ -184,6 +186,29 @@ def _lists(parts: Iterable[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), np.int32)))
 
 
+def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
+def _encoded(batches: Iterable[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    known = encoder(path, pattern)
+    for batch in _slices(batches):
+        ids = _lists(known.encode(t) for t in batch.column("text").to_pylist())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
+
+
+def _decoded(batches: Iterable[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    known = encoder(path, pattern)
+    for batch in _slices(batches):
+        ids = batch.column("ids")
+        flat, ends = ids.flatten().to_numpy(), np.append(0, np.cumsum(ids.value_lengths().to_numpy()))
+        # one document's ids at a time as numbers of Python
+        raw = pa.array([known.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), raw], ["doc_id", "ids", "decoded"])
+
+
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """`doc_id, ids array<int>` of every whole text, as the public library's ordinary encoding gives them.
 
@@ -192,14 +217,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
     encoded by the tree too, in about n log^2 n steps.
     """
     where = path or vocabulary_path(), pattern or split_pattern()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = encoder(*where)
-        for batch in batches:
-            ids = _lists(known.encode(t) for t in batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
-
-    return texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
+    return texts(docs).mapInArrow(lambda batches: _encoded(batches, *where), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -208,15 +226,5 @@ def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = No
     Ids cut within a character decode to part of its bytes, hence bytes and not text.
     """
     where = path or vocabulary_path(), pattern or split_pattern()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = encoder(*where)
-        for batch in batches:
-            ids = batch.column("ids")
-            flat, ends = ids.flatten().to_numpy(), np.append(0, np.cumsum(ids.value_lengths().to_numpy()))
-            # one document's ids at a time as numbers of Python
-            raw = pa.array([known.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), raw], ["doc_id", "ids", "decoded"])
-
     rows = encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return rows.mapInArrow(lambda batches: _decoded(batches, *where), "doc_id long, ids array<int>, decoded binary")

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -101,3 +102,16 @@ def test_a_token_without_merges_that_lead_to_it():
     library = tiktoken.Encoding("tiny", pat_str=r"\w+", mergeable_ranks=ranks, special_tokens={}, explicit_n_vocab=7)
     for text in ("abcd", "abcdabcd", "abcda", "dabcd", "bcdcda"):
         assert ids(text, own) == library.encode_ordinary(text)
+
+
+def test_a_large_batch_is_handled_in_parts():
+    texts = [f"text number {i} of many" for i in range(1000)]
+    where = byte_bpe.vocabulary_path(), byte_bpe.split_pattern()
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1000)), "text": texts})
+    parts = list(byte_bpe._encoded([batch, batch.slice(0, 0)], *where))
+    assert max(p.num_rows for p in parts) <= byte_bpe.ROWS
+    whole = pa.Table.from_batches(parts).combine_chunks().to_batches()
+    assert [r["ids"] for r in whole[0].to_pylist()] == [LIBRARY.encode_ordinary(t) for t in texts]
+    parts = list(byte_bpe._decoded(whole, *where))
+    assert max(p.num_rows for p in parts) <= byte_bpe.ROWS
+    assert [r["decoded"].decode() for p in parts for r in p.to_pylist()] == texts
