@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from fieldsift.functions.text import try_json
 
 
-def iou(a: Column, b: Column) -> Column:
-    """Overlap over union; zero for boxes that do not overlap."""
+def iou(a: Column | Sequence[Column], b: Column | Sequence[Column]) -> Column:
+    """Overlap over union; zero for boxes that do not overlap. A box is an array or its four corners."""
     width = F.least(a[2], b[2]) - F.greatest(a[0], b[0])
     height = F.least(a[3], b[3]) - F.greatest(a[1], b[1])
     area = lambda x: (x[2] - x[0]) * (x[3] - x[1])
@@ -38,5 +40,7 @@ def box_list(text: Column) -> Column:
     entries = F.filter(try_json(text, "array<string>"), lambda e: e.rlike(FOUR))
     numbers = lambda e: F.transform(F.regexp_extract_all(e, F.lit(r"[+-]?[0-9]+(?:\.[0-9]+)?"), F.lit(0)), lambda v: v.cast("double").cast("int"))
     bare = lambda c, *signs: bare(F.replace(c, F.lit(signs[0]), F.lit("")), *signs[1:]) if signs else c
-    plain = F.transform(F.split(bare(text, "[", '"', " "), r"\],"), lambda e: F.split(bare(e, "]"), ",").cast("array<int>"))
+    # split at one character, as Java compiles any longer pattern anew for each text
+    apart = F.replace(bare(text, "[", '"', " "), F.lit("],"), F.lit(";"))
+    plain = F.transform(F.split(bare(apart, "]"), ";"), lambda e: F.split(e, ",").cast("array<int>"))
     return F.when(text.rlike(PLAIN), F.filter(plain, lambda e: F.size(e) == 4)).otherwise(F.transform(entries, lambda e: numbers(e)))

@@ -90,35 +90,56 @@ def _full_photos(a: DataFrame, b: DataFrame) -> DataFrame:
     return materialise(per[0].union(per[1]).distinct())
 
 
+def crowded_photos(defects: DataFrame, *sources: str) -> DataFrame:
+    """(fileId) of photos on which one of `sources` may have more than FEW boxes, stored; no text is parsed for it.
+
+    A box takes a bracket of its own, or the escape of one, beside the one that opens its list.
+    """
+    without = lambda sign: F.length(F.replace("box", F.lit(sign), F.lit("")))
+    marks = 2 * F.length("box") - without("[") - without("\\")
+    most = defects.filter(F.col("source").isin(*sources)).groupBy("fileId", "source").agg(F.sum(F.greatest(marks - 1, F.lit(0))).alias("n"))
+    return materialise(most.filter(F.col("n") > FEW).select("fileId").distinct())
+
+
 def _parted(boxes: DataFrame, full: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Boxes of the other photos, and those of the full ones."""
     return boxes.join(full, "fileId", "left_anti"), boxes.join(full, "fileId", "left_semi")
 
 
-def _compared(met: DataFrame, match: float) -> DataFrame:
-    return met.withColumn("iou", iou(F.col("box"), F.col("other"))).filter(F.col("iou") >= match).select("fileId", "i", "j", "iou")
+def _compared(a: DataFrame, b: DataFrame, on: list[str], match: float) -> DataFrame:
+    """Pairs of `box` and `other` that meet `on`.
+
+    Corners are columns of their own before boxes meet: with array entries, the code of a comparison is so long that
+    the JVM interprets it.
+    """
+    corners = lambda box, name: [F.col(box)[k].alias(f"{name}{k}") for k in range(4)]
+    met = a.select(*on, "i", *corners("box", "p")).join(b.select(*on, "j", *corners("other", "q")), on)
+    share = iou(*[[F.col(f"{name}{k}") for k in range(4)] for name in "pq"])
+    return met.withColumn("iou", share).filter(F.col("iou") >= match).select("fileId", "i", "j", "iou")
 
 
-def close_pairs(a: DataFrame, b: DataFrame, *, match: float = V.IOU_MATCH) -> DataFrame:
+def close_pairs(a: DataFrame, b: DataFrame, *, match: float = V.IOU_MATCH, crowded: DataFrame | None = None) -> DataFrame:
     """(fileId, i, j, iou) of boxes that overlap enough to be the same.
 
+    `crowded` (`crowded_photos`) spares counting the boxes; without it they are read once more for that.
+
     A photo of a few boxes yields all its combinations as they are compared; on a fuller one, where they would grow
     with the square, boxes meet through grid cells.
     """
     if match < 0.5:
         raise ValueError("the grid is built for overlaps of at least one half")
-    full = _full_photos(a, b)
+    full = _full_photos(a, b) if crowded is None else crowded
     slim = a.select("fileId", "i", "box"), b.select("fileId", F.col("i").alias("j"), F.col("box").alias("other"))
     if full.isEmpty():
-        return _compared(slim[0].join(slim[1], "fileId"), match)
+        return _compared(*slim, ["fileId"], match)
     (few_a, full_a), (few_b, full_b) = _parted(slim[0], full), _parted(slim[1], full)
-    return _compared(few_a.join(few_b, "fileId"), match).unionByName(_grid_pairs(full_a, full_b, match))
+    return _compared(few_a, few_b, ["fileId"], match).unionByName(_grid_pairs(full_a, full_b, match))
 
 
 def _grid_pairs(a: DataFrame, b: DataFrame, match: float) -> DataFrame:
     right = _zones(b.select("fileId", "j", F.col("other").alias("box")), 0).withColumnRenamed("box", "other")
     # one level and one cell per box on the right: a pair meets exactly once
-    return _compared(_zones(a, 1).join(right, ["fileId", "zx", "zy"]), match)
+    return _compared(_zones(a, 1), right, ["fileId", "zx", "zy"], match)
 
 
 def match_boxes(pairs: DataFrame) -> DataFrame:

@@ -88,7 +88,9 @@ def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two annotators' boxes on each order: one from the quantity of a line, one from its discount and tax."""
     li = B.table(spark, sf_dir, "lineitem").withColumn("seq", F.col("l_linenumber") * 10_000_000 + F.col("l_partkey"))
     a, b = F.col("l_quantity").cast("int") * 5, (F.col("l_discount") * 1000 + F.col("l_tax") * 1000).cast("int")
-    box = lambda x: F.format_string("[[%d, %d, %d, %d]]", x, x, x + 300, x + 300)
+    text = lambda x: F.coalesce(x.cast("string"), F.lit("null"))
+    # as format_string writes it, in half the time
+    box = lambda x: F.concat(F.lit("[["), F.array_join(F.array(*map(text, (x, x, x + 300, x + 300))), ", "), F.lit("]]"))
     one = lambda name, x: li.select(F.col("l_orderkey").cast("string").alias("fileId"), F.lit(name).alias("source"), F.lit("t").alias("defectType"), box(x).alias("box"), "seq")
     return one("a", a).unionByName(one("b", b))
 
@@ -98,7 +100,7 @@ def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT CAST(f AS VARCHAR) AS fileId, i, j, round(w * w / (180000.0 - w * w), 6) AS iou FROM p WHERE w * w / (180000.0 - w * w) >= 0.5""")
 def iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _boxes(spark, sf_dir)
-    found = agreement.close_pairs(agreement.numbered_boxes(rows, "a"), agreement.numbered_boxes(rows, "b"))
+    found = agreement.close_pairs(agreement.numbered_boxes(rows, "a"), agreement.numbered_boxes(rows, "b"), crowded=agreement.crowded_photos(rows, "a", "b"))
     return found.select("fileId", F.col("i.__o").alias("i"), F.col("j.__o").alias("j"), F.round("iou", 6).alias("iou"))
 
 
